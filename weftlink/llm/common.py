@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -26,7 +27,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
     """Batches cut so that one slice holds about ``most`` bytes of text (or one longer row): it bounds a worker's memory."""
     for batch in batches:
         n, start, size = batch.num_rows, 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, length in enumerate(lengths):
             size += length or 0
             if size >= most:

@@ -15,8 +15,27 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.secrets import digests, scan
+
+    return digests(scan(table(spark, sf_dir, "documents")))
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.licenses import digests, scan
+
+    return digests(scan(table(spark, sf_dir, "documents")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.langid import held_out, identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_bpe": op6_bpe}
+    return {f.__name__: f for f in (op1_licenses, op6_bpe, op7_langid, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
