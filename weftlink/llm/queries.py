@@ -34,9 +34,29 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.html import extract, with_lengths
+
+    return with_lengths(extract(table(spark, sf_dir, "pages")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.pii import digests, find
+
+    return digests(find(table(spark, sf_dir, "documents")))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licenses, op6_bpe, op7_langid, op8_secrets)}
+    return {f.__name__: f for f in (op1_licenses, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from weftlink.llm import urls
+
+    return {"op5_urls": urls.oracle()}
