@@ -52,8 +52,14 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licenses, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets)}
+    return {f.__name__: f for f in (op1_licenses, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
