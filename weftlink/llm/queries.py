@@ -58,8 +58,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.minhash import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licenses, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_licenses, op2_minhash, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
