@@ -23,6 +23,8 @@ PAD = b"\n" * ORDER
 #: Positions that are scored at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Labels that a model may have.
+LABELS = 1000
 
 
 def keys_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +133,21 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int, id_col: str, text_co
 
     The rows of a language with the smallest hashes are taken; an excerpt starts at a place that the hash gives.
     """
+    docs = need(docs, id_col, text_col, label_col)
     of_id = F.col(f"`{id_col}`").cast("string")
     text = F.col(f"`{text_col}`")
-    drawn = docs.filter((F.crc32(of_id) % 5 != 0) & F.col(f"`{label_col}`").isNotNull() & (F.length(text) > 0)).select(
-        F.col(f"`{label_col}`").cast("string").alias("lang"),
+    fit = docs.filter((F.crc32(of_id) % 5 != 0) & F.col(f"`{label_col}`").isNotNull() & (F.length(text) > 0))
+    fit = fit.withColumn("_label", F.col(f"`{label_col}`").cast("string"))
+    counts = fit.groupBy("_label").count().limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    if not counts:
+        return {}
+    # Hashes below a label's threshold leave about twice as many rows as are taken, however many there are.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_label"], min(1.0, 2.0 * rows / r["count"] + 20.0 / r["count"]))])
+    below = F.pmod(F.xxhash64(of_id), F.lit(1 << 32)) / float(1 << 32) < F.element_at(share, F.col("_label"))
+    drawn = fit.filter(below).select(
+        F.col("_label").alias("lang"),
         F.xxhash64(of_id).alias("h"),
         F.substring(text, F.lit(1) + F.pmod(F.xxhash64(of_id, F.lit(1)), F.greatest(F.length(text) - chars, F.lit(1))).cast("int"), F.lit(chars)).alias("text"),
     )
@@ -147,9 +160,9 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int, id_col: str, text_co
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-    rows: int = 400, chars: int = 2048, samples: dict[str, list[bytes]] | None = None, keep: tuple[str, ...] = (),
+    rows: int = 400, chars: int = 2048, samples: dict[str, list[bytes]] | None = None, keep: tuple[str, ...] = (), with_text: bool = False,
 ) -> DataFrame:
-    """(id_col, keep..., lang_pred, score, bits) of every row; bits: of the best language, a byte.
+    """(id_col, keep..., [text_col,] lang_pred, score, bits) of every row; bits: of the best language, a byte.
 
     Fitted on at most ``rows`` excerpts of ``chars`` characters for each label (see labelled_sample), or on ``samples``;
     every whole text is scored. A null text and one without a letter give ``und``, score 0 and null bits, as does
@@ -160,16 +173,17 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = need(docs, id_col, *keep, text_col)
     last = len(source.columns) - 1
+    stay = last + with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, last):
             found = shared.value.predict(batch.column(last).to_pylist())
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), *columns], names=[*(f"c{i}" for i in range(last)), "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(stay)), *columns], names=[*(f"c{i}" for i in range(stay)), "lang_pred", "score", "bits"])
 
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema[:last]))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema[:stay]))
     out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double")
-    return out.toDF(*source.columns[:last], *out.columns[last:])
+    return out.toDF(*source.columns[:stay], *out.columns[stay:])
 
 
 def held_out(df: DataFrame, id_col: str = "doc_id"):

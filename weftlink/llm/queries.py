@@ -64,8 +64,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.hnsw import linked
+
+    return linked(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licenses, op2_minhash, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_licenses, op2_minhash, op3_html, op4_pii, op5_urls, op6_bpe, op7_langid, op8_secrets, op9_decontaminate, op10_hnsw)}
 
 
 def oracle_sql() -> dict[str, str]:
