@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def local(cores: int = 8, memory: str = "8g") -> SparkSession:
+def local(cores: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session whose Python workers find this package."""
     root = str(Path(__file__).resolve().parent.parent)
     os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
@@ -22,6 +22,7 @@ def local(cores: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
