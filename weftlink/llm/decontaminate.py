@@ -14,6 +14,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftlink.llm.common import need, text_slices
 
@@ -21,7 +22,7 @@ WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Positions that count are 1.
 MASKS = ("11101001011", "1101011001101", "11010010100111")
 #: Equal words that a segment needs (or that many of a shorter item), and the share of its words that must be equal.
-LEAST, SHARE = 13, 0.8
+LEAST, SHARE, PRICE = 13, 0.8, 4
 #: Bytes of benchmark text that a task holds at once; larger benchmarks go in blocks, each against all rows.
 BLOCK_BYTES = 32 << 20
 
@@ -79,8 +80,8 @@ class Seeds:
         item = self.items[k][1]
         low, high = max(0, -shift), min(len(item), len(doc) - shift)
         same = doc[low + shift : high + shift] == item[low:high]
-        # Equal words pay 1 - SHARE and others cost SHARE: a segment with a sum from 0 has a share of SHARE or more.
-        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - SHARE, -SHARE))])
+        # An equal word pays 1 and another costs 4: a segment with a sum from 0 has a share of SHARE, 4 of 5, or more.
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -PRICE))])
         begin = np.minimum.accumulate(total)
         end = int(np.argmax(total - begin))
         start = int(np.flatnonzero(total[: end + 1] == begin[end])[0]) if end else 0
@@ -148,6 +149,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     source = need(docs, id_col, text_col)
     kinds = source.schema[0].dataType.simpleString(), need(benchmark, item_col).schema[0].dataType.simpleString()
+    item_type = to_arrow_type(need(benchmark, item_col).schema[0].dataType)
     out = None
     for seeds in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
@@ -157,10 +159,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 found = shared.value.hits(batch.column(1).to_pylist())
                 cols = list(zip(*found, strict=True)) or [()] * 6
                 ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
-                items = pa.array([shared.value.items[k][0] for k in cols[1]])
-                yield pa.RecordBatch.from_arrays([ids, items.cast(pa.int64()) if kinds[1] == "bigint" else items.cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["id", "item", "doc_start", "item_start", "length", "equal"])
+                items = pa.array([shared.value.items[k][0] for k in cols[1]], item_type)
+                yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(c, pa.int64()) for c in cols[2:])], names=["id", "item", "doc_start", "item_start", "length", "equal"])
 
-        part = source.mapInArrow(run, f"id {kinds[0]}, item {kinds[1] if kinds[1] == 'bigint' else 'string'}, doc_start bigint, item_start bigint, length bigint, equal bigint")
+        part = source.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, doc_start bigint, item_start bigint, length bigint, equal bigint")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
