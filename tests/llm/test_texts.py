@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from weftlink.llm import bpe, decontaminate, html, langid, queries, urls
+from weftlink.llm import bpe, decontaminate, html, langid, urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -115,15 +115,6 @@ def test_url_purity(spark):
     assert got[200] == "block" and got[1] == "block"
 
 
-def test_url_oracle(spark, sf):
-    got = queries.op5_urls(spark, sf)
-    columns = sorted(got.columns)
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op5_urls']})").fetchall()
-    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
-
-
 def test_decontaminate(spark, docs, rows, edges, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r["item_id"]: decontaminate.words_of(r["text"]) for r in bench.collect()}

@@ -75,6 +75,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftlink.llm import urls
+    from weftlink.llm import oracles, urls
 
-    return {"op5_urls": urls.oracle()}
+    return {"op1_licenses": oracles.licenses(), "op2_minhash": oracles.groups(), "op5_urls": urls.oracle(), "op10_hnsw": oracles.vectors()}
