@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftlink.llm.common import need, text_slices
 
 #: Pieces that a worker remembers, and those it hands to DuckDB at once.
-REMEMBERED, AT_ONCE, TOKENS_AT_ONCE = 400_000, 50_000, 400_000
+REMEMBERED, AT_ONCE, TOKENS_AT_ONCE = 300_000, 30_000, 200_000
 #: Bytes from which a piece contracts all occurrences of a pair at once.
 LONG = 200
 
@@ -93,7 +93,7 @@ class Coder:
         self.rank, self.pieces = rank, regex.compile(pattern).findall
         self.byte_ids = np.array([rank[bytes([i])] for i in range(256)], dtype="int32")
         self.known: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         if len(rank) > 1 << 17:
             raise ValueError("at most 131,072 ranks fit the packed keys")
         early = {part for token, k in rank.items() for cut in range(1, len(token)) for part in (token[:cut], token[cut:]) if rank.get(part, -1) > k}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,21 +12,40 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Bytes that an Arrow batch of a text operator may have.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A named input table, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are held to BATCH_BYTES: ten thousand long texts in one batch would fill a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", conf.get(key))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def need(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns only: other columns can't clash with what an operator adds."""
+    small_batches(df)
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def released() -> None:
+    """Gives memory that is free back to the machine, where the C library can: workers live as long as executors."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one slice holds about ``most`` bytes of text (or one longer row): it bounds a worker's memory."""
     for batch in batches:
         n, start, size = batch.num_rows, 0, 0
@@ -35,6 +57,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
                 start, size = i + 1, 0
         if start < n:
             yield batch.slice(start)
+    released()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -50,12 +73,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pattern_rows(df: DataFrame, keys: list[str], bound: int) -> list:
-    """Counts by a key whose number of values is bounded by construction; fails when that bound doesn't hold."""
-    rows = df.groupBy(*keys).count().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} distinct values of {keys}")
-    return rows
-
-
 Query = Callable[[SparkSession, str], DataFrame]
