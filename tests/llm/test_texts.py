@@ -147,3 +147,19 @@ def test_substitutions(spark):
     bench = spark.createDataFrame([(7, item), (8, "w0 w1 w2 w3"), (9, None), (9, "")], "item_id int, text string")
     got = sorted((r["doc_id"], r["item_id"], r["equal"]) for r in decontaminate.overlaps(docs, bench).collect())
     assert got == [(1, 7, 27), (1, 8, 4), (2, 8, 4), (3, 8, 4), (4, 7, 30), (4, 8, 4)]
+
+
+def test_segments_by_brute_force():
+    """On a diagonal, against all segments with 4 of 5 equal words."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cases = [[1] * 12 + [0] * 3 + [1] * 11, [1] * 12 + [0] * 3 + [1] * 12, [1, 1, 1, 1, 0] * 8, [0] * 20, [1] * 16]
+    cases += [(rng.random(n) >= share).astype(int).tolist() for share in (0, 0.05, 0.1, 0.15, 0.2) for n in (14, 20, 30, 60) for _ in range(15)]
+    for same in cases:
+        seeds = decontaminate.Seeds([(1, " ".join(f"w{i}" for i in range(len(same))))])
+        doc = np.array([i + 1 if s else 0 for i, s in enumerate(same)], dtype="uint64")
+        pairs = ((i, j, sum(same[i:j])) for i in range(len(same)) for j in range(i + 1, len(same) + 1))
+        best = max(((e, i - j, -i) for i, j, e in pairs if e * 5 >= (j - i) * 4), default=(0, 0, 0))
+        want = (-best[2], -best[1], best[0]) if best[0] >= seeds.need_of(0) else None
+        assert seeds.overlap(doc, 0, 0) == want

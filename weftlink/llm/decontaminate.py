@@ -76,17 +76,25 @@ class Seeds:
         return min(LEAST, int(np.ceil(SHARE * n)))
 
     def overlap(self, doc: np.ndarray, k: int, shift: int) -> tuple[int, int, int] | None:
-        """The best segment of item k against a document on a diagonal: start in the item, length, equal words; None if too little."""
+        """The best segment of item k against a document on a diagonal: start in the item, length, equal words; None if too little.
+
+        Of all segments with a share of SHARE or more the one with most equal words, then the shortest, then the first.
+        """
         item = self.items[k][1]
         low, high = max(0, -shift), min(len(item), len(doc) - shift)
         same = doc[low + shift : high + shift] == item[low:high]
         # An equal word pays 1 and another costs 4: a segment with a sum from 0 has a share of SHARE, 4 of 5, or more.
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -PRICE))])
-        begin = np.minimum.accumulate(total)
-        end = int(np.argmax(total - begin))
-        start = int(np.flatnonzero(total[: end + 1] == begin[end])[0]) if end else 0
-        equal = int(same[start:end].sum())
-        return (low + start, end - start, equal) if equal >= self.need_of(k) else None
+        words = np.concatenate([[0], np.cumsum(same)])
+        # Each end takes its farthest start with no higher total, then leaves out unequal words that lead.
+        start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        start = np.searchsorted(words, words[start], "right") - 1
+        start = np.minimum(start, np.arange(len(total)))
+        equal = words - words[start]
+        ends = np.flatnonzero(equal == equal.max())
+        end = int(ends[np.argmin(ends - start[ends])])
+        first, most = int(start[end]), int(equal[end])
+        return (low + first, end - first, most) if most >= self.need_of(k) else None
 
     def hits(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item's place, start in the document, start in the item, length, equal words) of the best overlap of each row and item."""
