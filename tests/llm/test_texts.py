@@ -85,6 +85,32 @@ def test_html(spark):
     assert html.extract(pages).count() == 7 and html.extract(pages.limit(0)).count() == 0
 
 
+LONG = "a long sentence of the article, which goes on for a while and then ends. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><article><p>teaser</p></article></div>", [LONG, LONG]),  # the body is in a div, the teaser no evidence
+        ("<body><h1>A short head</h1><p>" + "x" * 60 + "</p></body>", ["A short head", "x" * 60]),
+        (f"<div><p>{LONG}</p><div class=ad><p>a</p><p>b</p><p>c</p></div><p>The end.</p></div>", [LONG, "The end."]),
+        (f"<div>{LONG}</div><div class=ad><p>a</p><p>b</p><p>c</p></div><div>The end.</div>", [LONG, "The end."]),
+        (f"<div class='page-header sidebar'><article><h1>Head</h1><p>{LONG}</p></article></div>", ["Head", LONG]),
+        (f"<div class='with-sidebar'><h1>Head</h1><p>{LONG}</p><div class=sidebar>{LONG}</div></div>", ["Head", LONG]),
+        (f"<div class='nav-page'><p>{LONG}</p><p>{LONG}</p></div><div class=x><article>teaser</article></div>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p></article><div class=related><article><p>teaser one</p></article><article>two</article></div>", [LONG]),
+        (f"<article><p>Short.</p></article><div class=comments><p>{LONG}</p><p>{LONG}</p></div>", ["Short."]),
+        (f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>", [LONG, LONG]),  # text outside surges by itself
+        (f"<article><p>{LONG}</p></article><p>by</p>", [LONG]),
+        ("<div class=cookie-notice>We use cookies on all of the pages that are here</div>", []),
+        ("<div><a href=x>one</a></div><div><a href=x>two</a></div><div><a href=x>three</a></div>", []),
+    ],
+)
+def test_html_without_marks(page, text):
+    got = html.main_text(page).split("\n\n")
+    assert [x for x in got if x not in ("", "teaser")] == [x.strip() for x in text]
+
+
 def test_html_pages(spark, sf):
     import html as h
     import re

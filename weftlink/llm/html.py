@@ -3,7 +3,8 @@
 Markup is stripped into lines, one a block, each with the length of its own text; links, and whatever stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, have no length.
 Lengths are summed over sliding windows of lines; text surges where a window rises over the threshold and dives
-where windows fall to nothing; lines of text between a surge and its dive are kept.
+where windows fall to nothing; lines of text between a surge and its dive are kept, and so is other text of the same
+section. Article and main elements are evidence: where they hold most of the text, any text in them is kept.
 """
 
 from __future__ import annotations
@@ -36,49 +37,91 @@ NOISE = re.compile(
     r"widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: Reader comments can outgrow the article; their names count unless they wrap nearly all of the page.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Elements that group blocks.
+SECTIONS = frozenset("article body center dd div html main section td th".split())
 SPACE = re.compile(r"\s+")
 
 
 @dataclass
 class Line:
-    """A block's text; weight: the length that counts; region: the innermost article or main element, from 1, or 0."""
+    """A block's text; weight: the length that counts; region: the innermost article or main element, from 1, or 0; section: the element that groups it."""
 
     text: str
     weight: int
     region: int
+    section: int
 
 
 def aside(name: str, attributes: str) -> bool:
-    """Whether an element holds something else than the article."""
+    """Whether an element holds something else than the article, whatever is in it."""
     if name in ASIDE:
         return True
     if attributes and name not in ("html", "body", "article", "main"):
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key in ("class", "id") and NOISE.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
     return False
 
 
+def noise(name: str, attributes: str) -> str | None:
+    """The class or id that says so of an element; wrappers have such names too."""
+    if attributes and name not in ("html", "body", "article", "main"):
+        for key, *values in ATTRIBUTE.findall(attributes):
+            if key.lower() in ("class", "id") and NOISE.search(value := "".join(values)):
+                return value
+    return None
+
+
+def wrappers(lines: list[Line], above: list[tuple[int, ...]], within: list[tuple[int, ...]], names: list[str]) -> set[int]:
+    """The elements with a noisy name that are no noise: above most text in article and main elements, or holding most of the page's text.
+
+    ``above`` and ``within``: each line's elements with a noisy name, outside of its region and in it.
+    """
+    text = sum(x.weight for x in lines)
+    marked = sum(x.weight for x in lines if x.region)
+    clean = sum(x.weight for x, outer in zip(lines, above, strict=True) if x.region and not outer)
+    out = {k for x, outer in zip(lines, above, strict=True) if x.region for k in outer} if clean * 2 < marked else set()
+    held, count = [0] * len(names), [0] * len(names)
+    for x, outer, inner in zip(lines, above, within, strict=True):
+        for k in outer + inner if x.weight else ():
+            held[k] += x.weight
+            count[k] += 1
+    for k, name in enumerate(names):
+        if count[k] > 1 and (held[k] > text * 0.95 and not clean if COMMENTS.search(name) else held[k] * 2 > text):
+            out.add(k)
+    return out
+
+
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in its order; what stands aside leaves a line without weight."""
     out: list[Line] = []
-    open_: list[tuple[str, bool, int]] = []  # name, stands aside, region
+    open_: list[tuple[str, bool, int, int, tuple[int, ...], tuple[int, ...], bool]] = []  # name, stands aside, region, number, noisy names above the region and in it, noisy itself
     parts: list[str] = []
-    linked = regions = 0
+    above: list[tuple[int, ...]] = []
+    within: list[tuple[int, ...]] = []
+    names: list[str] = []
+    linked = regions = elements = 0
+    nothing = ("", False, 0, 0, (), (), False)
 
     def end() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            top = open_[-1] if open_ else ("", False, 0)
+            top = open_[-1] if open_ else nothing
             if text:
-                out.append(Line(text, 0 if top[1] else max(1, len(text) - linked), top[2]))
+                block = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in BLOCKS), 0)
+                section = next((open_[i][3] for i in range(block - 1, -1, -1) if open_[i][0] in SECTIONS), 0)
+                out.append(Line(text, 0 if top[1] else max(1, len(text) - linked), top[2], section))
+                above.append(top[4])
+                within.append(top[5])
             parts.clear()
         linked = 0
 
     def leave(at: int) -> None:
-        if any(x[0] in BLOCKS or x[1] for x in open_[at:]):
+        if any(x[0] in BLOCKS or x[1] or x[6] for x in open_[at:]):
             end()
         del open_[at:]
 
@@ -117,49 +160,63 @@ def lines_of(page: str) -> list[Line]:
             parts.append(" ")
         if name in VOID:
             continue
-        outer = open_[-1] if open_ else ("", False, 0)
-        region = outer[2]
+        outer = open_[-1] if open_ else nothing
+        region, higher, inner = outer[2], outer[4], outer[5]
         if name in ("article", "main"):
             regions += 1
-            region = regions
-        off = aside(name, m[3])
-        if off and not outer[1]:
+            region, higher, inner = regions, higher + inner, ()
+        off, named = aside(name, m[3]), noise(name, m[3])
+        if named is not None and not off and not outer[1]:
+            inner = (*inner, len(names))
+            if not region:
+                higher, inner = higher + inner, ()
+            names.append(named)
+        if (off or named is not None) and not outer[1]:
             end()
         if name in RAW:
             close = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, place)
-            if off:
+            if off or named is not None:
                 place = close.end() if close else n
                 continue
         if not m[3].rstrip().endswith("/"):
-            open_.append((name, outer[1] or off, region))
+            elements += 1
+            open_.append((name, outer[1] or off, region, elements, higher, inner, named is not None))
     end()
+    if names:
+        free = wrappers(out, above, within, names)
+        for x, outer, inner in zip(out, above, within, strict=True):
+            if not free.issuperset(outer + inner):
+                x.weight = 0
     return out
 
 
 def kept(lines: list[Line], window: int = 3, threshold: int = 80) -> list[str]:
     """The text between surges and dives.
 
-    Where an article or main element holds text, its lines are the distribution and any text in it surges; else all
-    lines are, and a window must hold more than ``threshold`` characters to surge.
+    Where article and main elements hold at least half of the page's text, any text in them surges. Elsewhere a
+    window must hold more than ``threshold`` characters, or more than half of the page's fullest window where all are
+    short; other text in a section that text surged in is kept with it. A line of links alone never surges.
     """
-    if any(x.region and x.weight for x in lines):
-        lines, threshold = [x for x in lines if x.region], 0
+    marked = sum(x.weight for x in lines if x.region) * 2 >= sum(x.weight for x in lines)
+    sure = [marked and bool(x.region and x.weight) for x in lines]
     n = len(lines)
-    weights = [x.weight for x in lines]
+    weights = [0 if at else x.weight for x, at in zip(lines, sure, strict=True)]
     sums = [sum(weights[max(0, i - window // 2) : i + window // 2 + 1]) for i in range(n)]
-    out, inside = [], False
+    if not any(sure):
+        threshold = max(window, min(threshold, max(sums, default=0) // 2))
+    keep, inside = list(sure), False
     for i in range(n):
         if not inside and sums[i] > threshold:  # a surge: it begins with the first line of text in its window
             inside = True
             back = i
             while back > 0 and weights[back - 1] and back - 1 >= i - window // 2:
                 back -= 1
-            out += [x.text for x in lines[back:i] if x.weight]
+            keep[back:i] = [True] * (i - back)
         if inside and sums[i] == 0:
             inside = False
-        if inside and weights[i]:
-            out.append(lines[i].text)
-    return out
+        keep[i] |= inside and weights[i] > 0
+    sections = {x.section for x, at, known in zip(lines, keep, sure, strict=True) if at and not known}
+    return [x.text for x, at in zip(lines, keep, strict=True) if at or x.weight > 1 and x.section in sections]
 
 
 def main_text(page: str | None) -> str:
