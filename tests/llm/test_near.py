@@ -120,6 +120,29 @@ def test_recall():
     assert truth[row, node].all() and len(row) >= 0.97 * truth.sum()
 
 
+def test_audit(monkeypatch):
+    """A hot cluster and self-hits don't hide that the links of small groups are missed, and an audit without links doesn't pass."""
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=32) + 0.02 * rng.normal(size=(300, 32))
+    small = np.repeat(rng.normal(size=(100, 32)), 2, axis=0) + 0.02 * rng.normal(size=(200, 32))
+    x = np.concatenate([hot, small]).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, own = hnsw.Graph(x, None, len(x)), [[k] for k in range(len(x))]
+
+    def blind(graph, q, beam, least):  # finds the cluster's links and self-hits, and with wide beams all
+        row, node = np.nonzero(q @ graph.x.T >= least)
+        at = (node < 300) | (q[row] == graph.x[node]).all(axis=1) | (beam > 100)
+        return row[at], node[at]
+
+    monkeypatch.setattr(hnsw, "wide", blind)
+    narrow = hnsw.tally(g, x, own, hnsw.BEAM, 0.9)
+    assert sum(t[2] for t in narrow) == 300 * 299 + 200 and sum(t[1] for t in narrow) == 500
+    assert hnsw.passed(narrow, True) == (False, True)
+    assert hnsw.passed(hnsw.tally(g, x, own, 200, 0.9), False) == (True, True)
+    assert hnsw.audited_beam(g, x, 0.9) > 100
+    assert hnsw.passed([], False) == (True, False) and hnsw.passed([(True, 300, 90000, 300.0)], False) == (True, False)
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf, docs):
     out, df = [], docs
