@@ -189,3 +189,34 @@ def test_segments_by_brute_force():
         best = max(((e, i - j, -i) for i, j, e in pairs if e * 5 >= (j - i) * 4), default=(0, 0, 0))
         want = (-best[2], -best[1], best[0]) if best[0] >= seeds.need_of(0) else None
         assert seeds.overlap(doc, 0, 0) == want
+
+
+def test_masks_of_short_items():
+    """All allowed substitutions in items of up to 15 words."""
+    from itertools import combinations
+
+    for n in range(1, 16):
+        words = [f"w{i}" for i in range(n)]
+        texts = [" ".join("zz" if i in gone else w for i, w in enumerate(words)) for gone in combinations(range(n), n - decontaminate.need_of_words(n))]
+        found = decontaminate.Seeds([(1, " ".join(words))]).hits(texts)
+        assert [(x[0], x[5]) for x in found] == [(i, decontaminate.need_of_words(n)) for i in range(len(texts))]
+
+
+def test_masks_of_long_items():
+    """No segment of any length with 13 equal words and 4 of 5 escapes all masks: the best sums of words that no mask hits, by the words before, stop growing below 0."""
+    masks = decontaminate.masks_for(16)
+    assert all(decontaminate.masks_for(n) == masks for n in (17, 59, 1000))
+    keep = max(m[-1] for m in masks)
+    ends = lambda last: any(all(last >> m[-1] - at & 1 for at in m) for m in masks)
+    best, new = {}, {(0, 0): 0}
+    while new:
+        best |= new
+        new = {}
+        for (equal, last), total in [(k, best[k]) for k in best]:
+            for same in (0, 1):
+                now = last << 1 | same
+                if not (same and ends(now)):
+                    key, value = (min(13, equal + same), now & ((1 << keep) - 1)), total + (1 if same else -4)
+                    if value > best.get(key, -40) and value > new.get(key, -40):
+                        new[key] = value
+    assert max(v for (equal, _), v in best.items() if equal == 13) < 0

@@ -1,7 +1,7 @@
 """Benchmark decontamination with spaced seeds.
 
 Fixed masks choose some of the next token positions and ignore the others, so that a substituted word spoils few
-hashes. Hashes of the benchmark's masked positions are joined with those of all documents; around each hit the
+hashes; the set of masks misses no overlap that counts. Hashes of the benchmark's masked positions are joined with those of all documents; around each hit the
 diagonal is scored, and the best segment, which tolerates substitutions, must hold enough equal words.
 """
 
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weftlink.llm.common import need, text_slices
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Positions that count are 1.
-MASKS = ("11101001011", "1101011001101", "11010010100111")
+#: Positions that count are 1. Chosen and tested by enumeration: every segment with LEAST equal words and a
+#: share of SHARE, however long, has a place where all positions of one of them are equal words.
+MASKS = ("1111111", "11110111", "11101111", "11110100011", "11101001011", "10001011111")
+#: Weight and span, at most, of the masks for items of fewer words than LEAST equal ones take.
+SHORT_WEIGHT, SHORT_SPAN = 5, 11
 #: Equal words that a segment needs (or that many of a shorter item), and the share of its words that must be equal.
 LEAST, SHARE, PRICE = 13, 0.8, 4
 #: Bytes of benchmark text that a task holds at once; larger benchmarks go in blocks, each against all rows.
@@ -31,6 +35,27 @@ def words_of(text: str) -> list[bytes]:
     return WORDS.findall(text.lower().encode())
 
 
+def need_of_words(n: int) -> int:
+    """Equal words that an item of n words needs."""
+    return min(LEAST, int(np.ceil(SHARE * n)))
+
+
+@cache
+def masks_for(n: int) -> tuple[tuple[int, ...], ...]:
+    """Positions of the masks for items of n words: for short ones, masks are taken, the best first, until each set of equal words that is enough is hit."""
+    if need_of_words(n) == LEAST:
+        return tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
+    bits = lambda at: sum(1 << i for i in at)
+    left = [bits(c) for c in combinations(range(n), need_of_words(n))]
+    of = {m: bits(m) for m in ((0, *c) for c in combinations(range(1, min(n, SHORT_SPAN)), min(SHORT_WEIGHT, need_of_words(n)) - 1))}
+    hit = lambda m, words: any(words >> at & of[m] == of[m] for at in range(n - m[-1]))
+    out = []
+    while left:
+        out.append(max(of, key=lambda m: sum(hit(m, w) for w in left)))
+        left = [w for w in left if not hit(out[-1], w)]
+    return tuple(out)
+
+
 class Seeds:
     """The masked hashes of one block of a benchmark, sorted, with the places they come from."""
 
@@ -41,17 +66,14 @@ class Seeds:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if ids:
                 self.items.append((item, np.array(ids, dtype="uint64")))
-        shortest = min((len(ids) for _, ids in self.items), default=0)
-        spans = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-        # Items shorter than a mask are found by what fits of it: by all their words where they have fewer than its weight.
-        cuts = {len(ids) for _, ids in self.items if len(ids) < max(map(len, MASKS))} if shortest else set()
-        self.masks = sorted({*spans, *(tuple(range(n)) if n < 8 else tuple(i for i in m if i < n) for n in cuts for m in spans)})
+        lengths = {len(ids) for _, ids in self.items}
+        self.masks = sorted({m for n in lengths for m in masks_for(n)})
         self.tables = []
         for mask in self.masks:
             hashes, places = [], []
             for k, (_, ids) in enumerate(self.items):
                 n = len(ids) - mask[-1]
-                if n > 0:
+                if mask in masks_for(len(ids)):
                     hashes.append(self.hashed(ids, mask))
                     places.append(np.stack([np.full(n, k), np.arange(n)], axis=1))
             if hashes:
@@ -72,8 +94,7 @@ class Seeds:
         return out * np.uint64(0xBF58476D1CE4E5B9)
 
     def need_of(self, k: int) -> int:
-        n = len(self.items[k][1])
-        return min(LEAST, int(np.ceil(SHARE * n)))
+        return need_of_words(len(self.items[k][1]))
 
     def overlap(self, doc: np.ndarray, k: int, shift: int) -> tuple[int, int, int] | None:
         """The best segment of item k against a document on a diagonal: start in the item, length, equal words; None if too little.
