@@ -38,13 +38,20 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return x.filter("is_ref"), x.filter("NOT is_ref"), x.filter("NOT is_ref").select(F.col("id").alias("qid"), F.col("canon").alias("s1"))
 
 
-def passages(spark: SparkSession, sf_dir: str, most: int = 20, size: int = 5) -> DataFrame:
-    """(doc_id, item_id, nk, share): task B's matches by five-word shingles. Shingles of over ``most`` items are left out as keys; a pair counts with half of an item's keys."""
+def passages(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
+    """(doc_id, item_id, nk, share): task B's matches by five-word shingles, all of which count; an item of fewer words is one phrase. A pair counts with half of an item's shingles. Items of equal words are compared once."""
     tokens = lambda df, key: df.select(F.col(key), words(fold(F.col("text"))).alias("w"))
-    grams = lambda df, key: df.filter(F.size("w") >= size).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("k"))
-    items = grams(tokens(table(spark, sf_dir, "benchmark"), "item_id"), "item_id")
-    rare = items.join(items.groupBy("k").agg(F.count("*").alias("df")).filter(F.col("df") <= most), "k").select("item_id", "k")
-    n = rare.groupBy("item_id").agg(F.count("*").alias("n"))
-    docs = grams(tokens(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
-    hits = docs.join(rare, "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("nk"))
-    return hits.join(n, "item_id").withColumn("share", F.round(F.col("nk") / F.col("n"), 6)).filter("share >= 0.5").select("doc_id", "item_id", "nk", "share")
+    grams = lambda df, key, n: df.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("k"))
+    items = tokens(table(spark, sf_dir, "benchmark"), "item_id").filter(F.size("w") > 0).withColumn("passage", F.md5(F.array_join("w", " ")))
+    members = items.select("item_id", "passage").distinct()
+    distinct = items.select("passage", "w").distinct()
+    short = distinct.filter(F.size("w") < size)
+    keys = grams(distinct, "passage", size).unionByName(short.select("passage", F.array_join("w", " ").alias("k")))
+    n = keys.groupBy("passage").agg(F.count("*").alias("n"))
+    docs = tokens(table(spark, sf_dir, "documents"), "doc_id")
+    found = grams(docs, "doc_id", size)
+    for length in sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect()):  # fewer than size
+        found = found.unionByName(grams(docs, "doc_id", length))
+    hits = found.join(keys, "k").groupBy("doc_id", "passage").agg(F.count("*").alias("nk"))
+    pairs = hits.join(n, "passage").withColumn("share", F.round(F.col("nk") / F.col("n"), 6)).filter("share >= 0.5")
+    return pairs.join(members, "passage").select("doc_id", "item_id", "nk", "share")
