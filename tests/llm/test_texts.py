@@ -1,11 +1,15 @@
 """Encoding, language, extraction, URLs and decontamination."""
 
 import hashlib
+import random
+import string
+import time
 
 import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from weftlink.llm import bpe, decontaminate, html, langid, urls
@@ -38,14 +42,42 @@ def test_bpe(docs, rows, edges, encoding):
     assert bpe.encode_decode(edges.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_long_pieces(coder, encoding, monkeypatch):
+def coded(coder, texts):
     import numpy as np
 
-    texts = ["ab" * 900, "a" * 2500, "=" * 2100 + "tionthe" * 40, "the of and" * 30]
-    for long in (200, 1):
-        monkeypatch.setattr(bpe, "LONG", long)
-        coder.known.clear()
-        assert [np.frombuffer(x, "<i4").tolist() for x in coder.encode(texts if long == 200 else ["intothe", "abracadabra", "nationality aaaa"])] == [encoding.encode_ordinary(t) for t in (texts if long == 200 else ["intothe", "abracadabra", "nationality aaaa"])]
+    ids, lengths = coder.encode(texts)
+    assert coder.decode(ids, lengths) == [t.encode() for t in texts]
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+def test_bpe_long_pieces(coder, encoding):
+    rng = random.Random(3)
+    many = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["ab" * 900, "a" * 2500, "=" * 2100 + "tionthe" * 40, "the of and" * 30, many("ACGT", 20_000), many("-=_*#", 3000), many("\u7684\u4e00\u662f\u4e0d\u4e86\u4eba", 900), "x" * 100_000]
+    texts += [many(letters, 250) for letters in ("ab", "the", "etaoin", "0123456789", "\u00e9\u00e0e") for _ in range(20)]
+    assert coded(coder, texts) == [encoding.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_hundred_thousand_letters(coder, encoding):
+    rng = random.Random(4)
+    text = "".join(rng.choice(string.ascii_letters) for _ in range(100_000))
+    began = time.process_time()
+    assert coded(coder, [text]) == [encoding.encode_ordinary(text)] and time.process_time() - began < 20
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("aeinst\u00e9 -=\n", min_size=1, max_size=60), min_size=1, max_size=5))
+def test_bpe_long_equals_short(coder, texts):
+    raw = [t.encode() for t in texts]
+    sizes, ids = coder._short(raw)
+    assert [x.tolist() for x in coder._long(raw)] == [ids[end - n : end].tolist() for n, end in zip(sizes, sizes.cumsum(), strict=True)]
+
+
+def test_bpe_generations(coder, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "GENERATION", 40)
+    for k in range(6):
+        texts = [f"common words return while rareword{k}x{i} goes away  twice \n here " for i in range(12)]
+        assert coded(coder, texts) == [encoding.encode_ordinary(t) for t in texts]
 
 
 def test_language(docs, edges):

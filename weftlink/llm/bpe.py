@@ -1,8 +1,13 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries inside each partition.
 
-Each task splits its texts into pieces. The pieces that it has not met yet become token-position rows in an
+Each task splits its texts into pieces. The pieces that it does not remember become token-position rows in an
 in-process DuckDB, which join the table of merges; a recursive query contracts every piece's leftmost pair of
 minimum rank until no pair of it can merge. An ordered aggregation over (document, position, id) rows decodes.
+
+A long piece contracts at many places at once. A pair of rank r has a reach, the length of the longest token of rank
+r or less that the piece's bytes can make up. Where no lower rank lies within it on either side, no merge that comes
+before the pair's own can touch it, since the token that did would be longer than that. The rounds that a piece needs
+so depend on the vocabulary, not on the piece's length.
 """
 
 from __future__ import annotations
@@ -17,71 +22,107 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftlink.llm.common import need, text_slices
 
-#: Pieces that a worker remembers, and those it hands to DuckDB at once.
-REMEMBERED, AT_ONCE, TOKENS_AT_ONCE = 300_000, 30_000, 200_000
-#: Bytes from which a piece contracts all occurrences of a pair at once.
-LONG = 200
+#: Pieces in each of the two generations that a worker remembers, pieces handed to DuckDB at once, tokens decoded at once.
+GENERATION, AT_ONCE, TOKENS_AT_ONCE = 300_000, 60_000, 200_000
+#: Bytes of text encoded together; bytes from which a piece contracts at many places at once, and its rounds in a query.
+TEXT_AT_ONCE, LONG, ROUNDS = 4 << 20, 200, 8
+#: Bytes of long pieces contracted together, or one longer piece; DuckDB's memory in MB, and its bytes for each byte of a long piece.
+LONG_AT_ONCE, MEMORY_MB, LONG_BYTES = 256 << 10, 200, 1000
+#: Fixed value: a pattern each of whose matches is white space, or a single space at most and then no white space. Texts can be cut before a space that white space neither precedes nor follows.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: One merge of each piece at a time. A key packs (rank, position, next position) so that min() finds the leftmost pair of minimum rank.
+#: One merge of each piece at a time. ``place`` packs (piece, position); a key packs (rank, position, next position), so that min() finds the leftmost pair of minimum rank.
 CONTRACT = """
-WITH RECURSIVE s(w, p, id, go) AS (
-  SELECT w, p, id, true FROM base
+WITH RECURSIVE s(place, id, go) AS (
+  SELECT place, id, true FROM base
   UNION ALL
   SELECT * FROM (
     WITH near AS (
-      SELECT *, lead((id::BIGINT << 32) | p) OVER (PARTITION BY w ORDER BY p) AS nx FROM s WHERE go
+      SELECT *, place >> 23 AS w, lead(place) OVER o AS next_place, lead(id) OVER o AS next_id FROM s WHERE go WINDOW o AS (ORDER BY place)
     ), best AS (
-      SELECT near.w, min((m.id::BIGINT << 46) | (near.p::BIGINT << 23) | (nx & 4294967295)) AS k
-      FROM near JOIN merges m ON m.l = near.id AND m.r = (near.nx >> 32) GROUP BY near.w
+      SELECT w, min((m.id::BIGINT << 46) | ((place & 8388607) << 23) | (next_place & 8388607)) AS k
+      FROM near JOIN merges m ON m.pair = ((near.id::BIGINT << 32) | near.next_id) WHERE next_place >> 23 = w GROUP BY w
     )
-    SELECT near.w, near.p, CASE WHEN near.p = ((k >> 23) & 8388607) THEN (k >> 46)::INTEGER ELSE near.id END, k IS NOT NULL
+    SELECT place, CASE WHEN (place & 8388607) = ((k >> 23) & 8388607) THEN (k >> 46)::INTEGER ELSE id END, k IS NOT NULL
     FROM near LEFT JOIN best USING (w)
-    WHERE k IS NULL OR near.p <> (k & 8388607)
+    WHERE k IS NULL OR (place & 8388607) <> (k & 8388607)
   )
 )
-SELECT w, list(id ORDER BY p) AS ids FROM s WHERE NOT go GROUP BY w ORDER BY w
+SELECT place, id FROM s WHERE NOT go ORDER BY place
 """
 
-#: For long pieces: every occurrence of the pair of minimum rank at once, which gives the same as one at a time
-#: unless a neighbour of the new token could then merge at a lower rank; such tokens are marked ``early`` and
-#: contract only leftmost. In a run of overlapping occurrences every second one is left over.
+#: For long pieces, on one axis with gaps: every pair that no lower rank is within its reach of, on either side, merges.
+#: Of a run of overlapping pairs of equal rank every second one from its start merges, where all up to there are least
+#: in their surroundings. A token that is part of a lower-ranked one (``early``) could give way to that before its
+#: equals merge, so only the leftmost within reach does. ``n`` counts rounds, ``merged`` the merges of the last one.
 CONTRACT_LONG = """
-WITH RECURSIVE s(w, p, id, go) AS (
-  SELECT w, p, id, true FROM base
+WITH RECURSIVE s(place, id, n, merged) AS (
+  SELECT place, id, 0, 1::BIGINT FROM base
   UNION ALL
   SELECT * FROM (
     WITH near AS (
-      SELECT *, lead((id::BIGINT << 32) | p) OVER win AS nx, row_number() OVER win AS n
-      FROM s WHERE go WINDOW win AS (PARTITION BY w ORDER BY p)
+      SELECT place, id, n, lead(place) OVER o - place AS size, lead(id) OVER o AS next_id FROM s WHERE merged > 0 AND n < {rounds} WINDOW o AS (ORDER BY place)
     ), pairs AS (
-      SELECT near.w, near.p, near.n, near.nx & 4294967295 AS np, m.id AS rank, m.early
-      FROM near JOIN merges m ON m.l = near.id AND m.r = (near.nx >> 32)
-    ), low AS (
-      SELECT w, min(rank) AS rank FROM pairs GROUP BY w
-    ), hits AS (
-      SELECT pairs.*, n - row_number() OVER (PARTITION BY w ORDER BY n) AS run, min(n) OVER (PARTITION BY w) AS first
-      FROM pairs JOIN low USING (w, rank)
-    ), chosen AS (
-      SELECT w, p, np, rank FROM hits
-      QUALIFY CASE WHEN early = 1 THEN n = first ELSE row_number() OVER (PARTITION BY w, run ORDER BY n) % 2 = 1 END
+      SELECT near.place, near.place + size AS next_place, m.id AS rank, m.early, m.reach, m.reach + size AS right_reach FROM near JOIN long_merges m ON m.pair = ((near.id::BIGINT << 32) | near.next_id) WHERE size <= {longest}
+    ), around AS (
+      SELECT *, row_number() OVER o AS k, lag(rank) OVER o AS before, lag(next_place) OVER o AS before_end,
+        min(rank) OVER (ORDER BY place RANGE BETWEEN reach PRECEDING AND 1 PRECEDING) AS left_least,
+        min(rank) OVER (ORDER BY place RANGE BETWEEN 1 FOLLOWING AND right_reach FOLLOWING) AS right_least
+      FROM pairs WINDOW o AS (ORDER BY place)
+    ), least AS (
+      SELECT *, rank <= coalesce(left_least, rank) AND rank <= coalesce(right_least, rank) AS hit, (before = rank AND before_end = place) IS TRUE AS follows FROM around
+    ), runs AS (
+      SELECT *, max(CASE WHEN NOT follows THEN k END) OVER p AS first, max(CASE WHEN NOT hit THEN k END) OVER p AS missed FROM least WINDOW p AS (ORDER BY place ROWS UNBOUNDED PRECEDING)
+    ), merging AS (
+      SELECT place, next_place, rank, count(*) OVER () AS total FROM runs WHERE hit AND CASE WHEN early = 1 THEN left_least IS NULL OR rank < left_least ELSE coalesce(missed, 0) < first AND (k - first) % 2 = 0 END
     )
-    SELECT near.w, near.p, coalesce(c.rank, near.id), low.w IS NOT NULL
-    FROM near LEFT JOIN low ON low.w = near.w
-    LEFT JOIN chosen c ON c.w = near.w AND c.p = near.p
-    LEFT JOIN chosen g ON g.w = near.w AND g.np = near.p
-    WHERE g.w IS NULL
+    SELECT near.place, coalesce(m.rank, near.id)::INTEGER, near.n + 1, coalesce((SELECT any_value(total) FROM merging), 0)::BIGINT
+    FROM near LEFT JOIN merging m ON m.place = near.place ANTI JOIN merging g ON g.next_place = near.place
   )
 )
-SELECT w, list(id ORDER BY p) AS ids FROM s WHERE NOT go GROUP BY w ORDER BY w
+SELECT place, id, merged FROM s WHERE n = (SELECT max(n) FROM s) ORDER BY place
 """
 
 DECODE = """
-SELECT d, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d
+SELECT d, list(bytes ORDER BY p) AS parts FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d
 """
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Generation:
+    """Pieces by number, and the ids of each number in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sizes = np.zeros(0, "int64")
+        self.ids = np.zeros(0, "<i4")
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class Coder:
-    """The tables of one vocabulary in an in-process DuckDB with one thread and bounded memory."""
+    """The tables of one vocabulary in an in-process DuckDB with one thread and bounded memory.
+
+    Pieces are remembered in two generations: when the younger is full it becomes the older, whose pieces are taken
+    over where they are met again, so that what is common stays.
+    """
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         import duckdb
@@ -90,27 +131,26 @@ class Coder:
         rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         if any(bytes([i]) not in rank for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
+        if max(rank.values()) >= 1 << 17:
+            raise ValueError("at most 131,072 ranks fit the packed keys")
         self.rank, self.pieces = rank, regex.compile(pattern).findall
+        self.spaced, self.uncut = pattern == SPACED, regex.compile(r" \s").search
         self.byte_ids = np.array([rank[bytes([i])] for i in range(256)], dtype="int32")
-        self.known: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        if len(rank) > 1 << 17:
-            raise ValueError("at most 131,072 ranks fit the packed keys")
-        early = {part for token, k in rank.items() for cut in range(1, len(token)) for part in (token[:cut], token[cut:]) if rank.get(part, -1) > k}
-        left, right, to = [], [], []
+        self.young, self.old = Generation(), Generation()
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        early = {rank[part] for token, k in rank.items() for cut in range(1, len(token)) for part in (token[:cut], token[cut:]) if rank.get(part, -1) > k}
+        pair, to = [], []
         for token, k in rank.items():
             for cut in range(1, len(token)):
                 a, b = rank.get(token[:cut]), rank.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), to.append(k)
-        marked = {rank[part] for part in early}
-        self._table("merges", l=left, r=right, id=to, early=[int(k in marked) for k in to])
-        self.con.register("_new", pa.table({"id": pa.array(list(rank.values()), pa.int32()), "hex": [x.hex() for x in rank]}))
-        self.con.sql("CREATE TABLE vocab AS SELECT * FROM _new")
-        self.con.unregister("_new")
+                    pair.append(a << 32 | b), to.append(k)
+        self.merges = pa.table({"pair": pa.array(pair, pa.int64()), "id": pa.array(to, pa.int32()), "early": pa.array([int(k in early) for k in to], pa.int32())})
+        self._table("merges", **{c: self.merges[c] for c in ("pair", "id")})
+        self._table("vocab", id=pa.array(list(rank.values()), pa.int32()), bytes=pa.array(list(rank), pa.binary()))
 
-    def _table(self, name: str, **columns: list) -> None:
-        self.con.register("_new", pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()}))
+    def _table(self, name: str, **columns: pa.Array) -> None:
+        self.con.register("_new", pa.table(columns))
         self.con.sql(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _new")
         self.con.unregister("_new")
 
@@ -120,42 +160,120 @@ class Coder:
         self.con.unregister(name)
         return out
 
+    def _short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids."""
+        sizes, ids = [np.zeros(0, "int64")], [np.zeros(0, "<i4")]
+        for begin in range(0, len(raw), AT_ONCE):
+            part = raw[begin : begin + AT_ONCE]
+            lengths = np.fromiter(map(len, part), dtype="int64", count=len(part))
+            first = np.cumsum(lengths) - lengths
+            place = (np.repeat(np.arange(len(part), dtype="int64"), lengths) << 23) | (np.arange(lengths.sum()) - np.repeat(first, lengths))
+            got = self._ask(CONTRACT, "base", place=place, id=self.byte_ids[np.frombuffer(b"".join(part), dtype="uint8")])
+            sizes.append(np.bincount(got["place"].to_numpy() >> 23, minlength=len(part)))
+            ids.append(got["id"].to_numpy().astype("<i4"))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _long(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each long piece; a query holds ROUNDS rounds at most, the next goes on from its result."""
+        alphabet, longest, reach = set(b"".join(raw)), 0, {}
+        for token, k in sorted(self.rank.items(), key=lambda x: x[1]):
+            if alphabet.issuperset(token):
+                reach[k] = longest = max(longest, len(token))
+        to = self.merges["id"].to_numpy()
+        length = np.fromiter((reach.get(k, 0) for k in range(max(self.rank.values()) + 1)), dtype="int64")[to]
+        self._table("long_merges", **{c: self.merges[c].filter(pa.array(length > 0)) for c in ("pair", "id", "early")}, reach=pa.array(length[length > 0], pa.int64()))
+        lengths = np.array([len(x) for x in raw])
+        first = np.cumsum(lengths + 2 * longest + 1) - (lengths + 2 * longest + 1)
+        place = np.concatenate([np.arange(n, dtype="int64") + start for n, start in zip(lengths, first, strict=True)])
+        ids, merged = self.byte_ids[np.frombuffer(b"".join(raw), dtype="uint8")], 1
+        self.con.sql(f"SET memory_limit = '{max(MEMORY_MB, len(ids) * LONG_BYTES >> 20)}MB'")
+        while merged:
+            got = self._ask(CONTRACT_LONG.format(rounds=ROUNDS, longest=longest), "base", place=place, id=ids)
+            place, ids, merged = got["place"].to_numpy(), got["id"].to_numpy(), got["merged"][0].as_py()
+        self.con.sql("DROP TABLE long_merges")
+        self.con.sql(f"SET memory_limit = '{MEMORY_MB}MB'")
+        return np.split(ids.astype("<i4"), np.searchsorted(place, first[1:]))
+
+    def contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids."""
+        long = np.fromiter((len(x) >= LONG for x in raw), dtype=bool, count=len(raw))
+        sizes, ids = self._short([x for x, far in zip(raw, long, strict=True) if not far])
+        if not long.any():
+            return sizes, ids
+        far, apart, begin, size = [raw[k] for k in np.flatnonzero(long)], [], 0, 0
+        for end, piece in enumerate(far, 1):
+            size += len(piece)
+            if size >= LONG_AT_ONCE or end == len(far):
+                apart.extend(self._long(far[begin:end]))
+                begin, size = end, 0
+        every = np.zeros(len(raw), "int64")
+        every[~long], every[long] = sizes, [len(x) for x in apart]
+        starts = np.zeros(len(raw), "int64")
+        starts[~long], starts[long] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum([0, *map(len, apart[:-1])])
+        return every, gathered(np.concatenate([ids, *apart]), starts, every)
+
     def learn(self, words: list[str]) -> None:
-        """Encode pieces; a piece that is a token itself needs no merge."""
-        hard = []
-        for word in words:
-            whole = self.rank.get(word.encode())
-            if whole is None:
-                hard.append(word)
+        """Number pieces that the younger generation lacks, with their ids; a piece that is a token itself needs no merge."""
+        base = len(self.young.sizes)
+        self.young.number.update(zip(words, range(base, base + len(words)), strict=True))
+        raw = [word.encode() for word in words]
+        old = np.fromiter((self.old.number.get(word, -1) for word in words), dtype="int64", count=len(words))
+        whole = np.fromiter((self.rank.get(x, -1) for x in raw), dtype="int64", count=len(raw))
+        known, hard = (whole < 0) & (old >= 0), (whole < 0) & (old < 0)
+        sizes, ids = self.contracted([raw[k] for k in np.flatnonzero(hard)])
+        every, starts = np.ones(len(words), "int64"), np.zeros(len(words), "int64")
+        every[known], starts[known] = self.old.sizes[old[known]], self.old.starts()[old[known]]
+        every[hard], starts[hard] = sizes, len(self.old.ids) + np.cumsum(sizes) - sizes
+        starts[whole >= 0] = len(self.old.ids) + len(ids) + np.arange((whole >= 0).sum())
+        self.young.add(every, gathered(np.concatenate([self.old.ids, ids, whole[whole >= 0].astype("<i4")]), starts, every))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has.
+
+        Texts are cut into chunks first, since equal chunks have equal pieces: before single spaces where the pattern
+        allows it, else a text is one chunk.
+        """
+        if len(self.young.number) >= GENERATION:
+            self.old, self.young = self.young, Generation()
+        spaced, apart, codes, counts = Numbered(), Numbered(), [], []
+        for text in texts:  # numbers of chunks after a space, and below zero of the others
+            if self.spaced and not self.uncut(text):
+                first, *rest = text.split(" ")
+                code = np.empty(len(rest) + 1, "int64")
+                code[1:] = np.fromiter(map(spaced.__getitem__, rest), dtype="int64", count=len(rest))
+                code[0] = ~apart[first]
             else:
-                self.known[word] = whole.to_bytes(4, "little")
-        long = [word for word in hard if len(word) >= LONG]
-        hard = [word for word in hard if len(word) < LONG]
-        parts = [(CONTRACT, hard[start : start + AT_ONCE]) for start in range(0, len(hard), AT_ONCE)]
-        for sql, part in parts + [(CONTRACT_LONG, [word]) for word in long]:
-            raw = [word.encode() for word in part]
-            lengths = np.fromiter(map(len, raw), dtype="int64", count=len(raw))
-            first = np.cumsum(lengths) - lengths
-            got = self._ask(
-                sql, "base",
-                w=np.repeat(np.arange(len(part), dtype="int32"), lengths),
-                p=(np.arange(lengths.sum()) - np.repeat(first, lengths)).astype("int32"),
-                id=self.byte_ids[np.frombuffer(b"".join(raw), dtype="uint8")],
-            )["ids"].combine_chunks()
-            values, at = got.values.to_numpy().astype("<i4"), got.offsets.to_numpy()
-            for i, word in enumerate(part):
-                self.known[word] = values[at[i] : at[i + 1]].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        split = [self.pieces(text) for text in texts]
-        new = list({word for words in split for word in words}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({word for words in split for word in words})
-        self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+                code = np.array([~apart[text]], dtype="int64")
+            codes.append(code), counts.append(len(code))
+        # Chunks after a space make up a text whose pieces end where they do.
+        found = self.pieces("".join([" " + word for word in spaced]))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype="int64", count=len(found)))
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, spaced), dtype="int64", count=len(spaced)) + 1), "right")
+        held = np.diff(last, prepend=0).tolist()
+        for key in apart:
+            more = self.pieces(key)
+            found.extend(more), held.append(len(more))
+        pieces = Numbered()
+        of_chunk = np.fromiter(map(pieces.__getitem__, found), dtype="int64", count=len(found))
+        after = len(spaced)
+        del found, spaced, apart
+        words = list(pieces)
+        del pieces
+        self.learn([word for word in words if word not in self.young.number])
+        number = np.fromiter(map(self.young.number.__getitem__, words), dtype="int64", count=len(words))
+        for word in words:
+            if len(word) >= LONG:  # long pieces are rarely met again
+                del self.young.number[word]
+        # Pieces to chunks to texts, by their runs of ids.
+        sizes, starts = self.young.sizes[number], self.young.starts()[number]
+        ids = gathered(self.young.ids, starts[of_chunk], sizes[of_chunk])
+        ends, last = np.concatenate([[0], np.cumsum(sizes[of_chunk])]), np.cumsum(held, dtype="int64")
+        chunk_start, chunk_end = ends[last - held], ends[last]
+        code = np.concatenate([np.zeros(0, "int64"), *codes])
+        code = np.where(code < 0, after + ~code, code)
+        lengths = (chunk_end - chunk_start)[code]
+        total, last = np.concatenate([[0], np.cumsum(lengths)]), np.cumsum(counts, dtype="int64")
+        return gathered(ids, chunk_start[code], lengths), total[last] - total[last - np.array(counts, dtype="int64")]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""
@@ -167,8 +285,13 @@ class Coder:
             end = max(begin + 1, int(np.searchsorted(ends, base + TOKENS_AT_ONCE, "right")))
             part = ids[base : ends[end - 1]]
             got = self._ask(DECODE, "tokens", d=np.repeat(np.arange(begin, end, dtype="int32"), lengths[begin:end]), p=np.arange(len(part), dtype="int32"), id=part)
-            for d, raw in zip(got["d"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-                out[d] = raw
+            parts = got["parts"].combine_chunks()
+            flat = parts.flatten()  # the bytes of neighbours lie side by side
+            cuts = np.frombuffer(flat.buffers()[1], dtype="int32")[flat.offset : flat.offset + len(flat) + 1]
+            text = flat.buffers()[2].to_pybytes() if len(flat) else b""
+            at = cuts[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+            for d, low, high in zip(got["d"].to_pylist(), at[:-1], at[1:], strict=True):
+                out[d] = text[low:high]
             begin = end
         return out
 
@@ -191,16 +314,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Whole texts are encoded, each match of ``pattern`` separately, without special tokens. A null text counts as
     empty; an empty text has no ids and decodes to no bytes. Repeated rows and repeated or null ids give a row
     each; other columns of ``docs`` are ignored, whatever their names. An empty table gives an empty table. The
-    rank file (bounded by the vocabulary) is read on the driver and broadcast.
+    rank file (bounded by the vocabulary) is read on the driver and broadcast. A worker's memory grows with its
+    longest piece, by LONG_BYTES bytes for each byte of it; other pieces are bounded by GENERATION and TEXT_AT_ONCE.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks.value, pattern)
-        for batch in text_slices(batches):
-            encoded = c.encode([text or "" for text in batch.column(1).to_pylist()])
-            ids = np.frombuffer(b"".join(encoded), dtype="<i4")
-            lengths = np.fromiter((len(x) // 4 for x in encoded), dtype="int64", count=len(encoded))
+        for batch in text_slices(batches, most=TEXT_AT_ONCE):
+            ids, lengths = c.encode([text or "" for text in batch.column(1).to_pylist()])
             decoded = c.decode(ids, lengths)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, ids), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
