@@ -5,7 +5,7 @@ import pytest
 
 from weftlink.plans.queries import ORACLES, QUERIES
 
-TABLES = "documents benchmark customer part".split()
+TABLES = "documents benchmark customer orders nation region part".split()
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,8 @@ from weftlink.streaming.match import match_stream, reference_index
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
-    refs, queries, _ = tasks.sides(spark, sf)
+    task = tasks.Task(spark, sf)
+    refs, queries = task.refs, task.queries
     fields = queries.select("id", "country", "nm", "nm_cmp", "ad")
     fields.repartition(3).write.parquet(f"{tmp_path}/in")
     index = reference_index(refs)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftlink.functions.text import ADDRESS_ABBREVIATIONS
-
-INDIC = "[ऀ-ൿ]"
+from weftlink.functions.text import ADDRESS_ABBREVIATIONS, INDIC, words
 
 
 def _stripped(text: Column) -> Column:
@@ -39,3 +37,20 @@ def substitutions(pairs: DataFrame, reference_items: DataFrame, least: int = 25,
     held = reference_items.groupBy("country", F.col("item").alias("x")).agg(F.count("*").alias("held"))
     best = best.filter(~F.concat("x", "y").rlike("[0-9]") & ~F.col("x").isin(sorted(set(ADDRESS_ABBREVIATIONS.values()))))
     return best.join(held, ["country", "x"], "left").filter(F.coalesce("held", F.lit(0)) <= 0.2 * F.col("n")).select("country", "x", "y")
+
+
+def learned_components(truth: DataFrame, queries: DataFrame, references: DataFrame, least: int = 25) -> DataFrame:
+    """(country, x, y): parts of addresses (``ad_parts``, arrays) that true pairs exchange one for one."""
+    return _learned(truth, queries.withColumn("items", F.col("ad_parts")), references.withColumn("items", F.col("ad_parts")), least)
+
+
+def learned_tokens(truth: DataFrame, queries: DataFrame, references: DataFrame, least: int = 25) -> DataFrame:
+    """(country, x, y): words of addresses (``ad``) that true pairs exchange one for one, of records normalised with the learned parts."""
+    return _learned(truth, queries.withColumn("items", words(F.col("ad"))), references.withColumn("items", words(F.col("ad"))), least)
+
+
+def _learned(truth: DataFrame, queries: DataFrame, references: DataFrame, least: int) -> DataFrame:
+    of = truth.join(queries.select(F.col("id").alias("qid"), "country", F.col("items").alias("a2")), "qid")
+    pairs = of.join(references.select(F.col("id").alias("s1"), F.col("items").alias("a1")), "s1").select("country", "a1", "a2")
+    held = references.select("country", F.explode(F.array_distinct("items")).alias("item"))
+    return substitutions(pairs, held, least)

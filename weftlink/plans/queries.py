@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftlink.functions import fuzzy
 from weftlink.functions.sampling import bucket, bucket_sql
-from weftlink.functions.text import ACCENTED, PLAIN, consonants, core, fold, normalise_address, normalise_name, unleet, words
+from weftlink.functions.text import ACCENTED, ADDRESS_FIELDS, NAME_FIELDS, PLAIN, consonants, unleet, with_address, with_name, words
 from weftlink.operators import block, context, decide, features, keys, maps, model, text_features, world
 from weftlink.plans import tasks
+from weftlink.plans.base_sql import BASE, WORLD
 from weftlink.sources import tables
 
-WORLD = world.World(kept={"en": 0.7, "fr": 0.5}, decoys={"en": 0.3})
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -29,56 +29,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-BASE = f"""
-heads AS (SELECT doc_id, lang, text, coalesce(substr(text, 1, 60), '') AS head FROM documents),
-firsts AS (SELECT lang, head, min(doc_id) AS canon FROM heads GROUP BY ALL),
-folded AS (SELECT doc_id, lang, canon, list_filter(string_split(trim(regexp_replace(translate(lower(coalesce(text, '')), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM heads JOIN firsts USING (lang, head)),
-rec AS (SELECT doc_id AS id, lang AS country, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS src, canon, doc_id = canon AS is_ref,
-  array_to_string(w[1:6], ' ') AS nm, array_to_string(w[1:6], '') AS nm_cmp, array_to_string(w[7:20], ' ') AS ad FROM folded),
-tok0 AS (SELECT *, list_filter(string_split(nm, ' '), lambda x: length(x) > 1) AS t, list_filter(string_split(ad, ' '), lambda x: x <> '') AS u,
-  list_transform(regexp_extract_all(ad, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS runs FROM rec),
-tok AS (SELECT *, list_filter(u, lambda x: NOT regexp_full_match(x, '[0-9]+') AND length(x) > 2) AS w, list_distinct(runs) AS d, coalesce(runs[1], '') AS ad_hn FROM tok0),
-allkeys AS (
-  SELECT DISTINCT id, country, is_ref, ty, key FROM (
-  SELECT id, country, is_ref, 0 AS ty, unnest(t) AS key FROM tok
-  UNION ALL SELECT id, country, is_ref, 1, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) FROM tok
-  UNION ALL SELECT id, country, is_ref, 2, array_to_string(list_sort(list_transform(t, lambda x: substr(x, 1, 4))), '_') FROM tok WHERE len(t) >= 2
-  UNION ALL SELECT id, country, is_ref, 3, unnest(w) FROM tok
-  UNION ALL SELECT id, country, is_ref, 4, unnest(list_transform(range(1, len(u)), lambda i: u[i] || '_' || u[i + 1])) FROM tok
-  UNION ALL SELECT id, country, is_ref, 5, unnest(d) FROM tok
-  UNION ALL SELECT id, country, is_ref, 5, coalesce(nullif(ltrim(substr(x, 2), '0'), ''), '0') FROM (SELECT *, unnest(d) AS x FROM tok WHERE is_ref) WHERE length(x) >= 3
-  UNION ALL SELECT id, country, is_ref, 5, substr(x, 1, length(x) - 1) FROM (SELECT *, unnest(d) AS x FROM tok WHERE is_ref) WHERE length(x) >= 3
-  UNION ALL SELECT id, country, is_ref, 6, nm_cmp || '|' || unnest(d) FROM tok WHERE nm_cmp <> ''
-  UNION ALL SELECT id, country, is_ref, 7, a || '|' || unnest(d) FROM (SELECT *, unnest(t) AS a FROM tok)
-  UNION ALL SELECT id, country, is_ref, 8, a || '|' || unnest(w) FROM (SELECT *, unnest(d) AS a FROM tok)
-  UNION ALL SELECT id, country, is_ref, 9, a || '|' || unnest(w) FROM (SELECT *, unnest(t) AS a FROM tok)
-  UNION ALL SELECT id, country, is_ref, 10, nm_cmp FROM tok WHERE length(nm_cmp) > 2)),
-refs AS (SELECT country, count(*) AS n_ref FROM rec WHERE is_ref GROUP BY ALL),
-weights AS (SELECT country, ty, key, count(*) AS df, ln(any_value(n_ref)) - ln(count(*)) AS w FROM allkeys JOIN refs USING (country) WHERE is_ref GROUP BY ALL
-  HAVING count(*) <= CASE WHEN ty IN (0, 3, 4, 5) THEN greatest(10, round(60 * any_value(n_ref) / 1000000.0)) WHEN ty IN (7, 8, 9) THEN greatest(10, round(80 * any_value(n_ref) / 1000000.0)) ELSE greatest(20, round(200 * any_value(n_ref) / 1000000.0)) END),
-scored AS (SELECT q.id AS qid, s.id AS s1, sum(w) AS score, count(*) AS nk FROM allkeys q JOIN weights USING (country, ty, key) JOIN allkeys s USING (country, ty, key) WHERE NOT q.is_ref AND s.is_ref GROUP BY ALL),
-cand AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, s1) AS rank FROM scored QUALIFY rank <= 12),
-best AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best, coalesce(max(CASE WHEN rank = 2 THEN score END) OVER (PARTITION BY qid), 0) AS second, count(*) OVER (PARTITION BY qid) AS q_ncand_raw FROM cand),
-cut AS (SELECT * FROM best WHERE rank <= 5 AND score >= 0.3::DOUBLE * best),
-pruned AS (SELECT qid, s1, score, nk, rank, CASE WHEN best <> 0 THEN score / best END AS rel, best - score AS gap_best, score - second AS gap_second, q_ncand_raw, count(*) OVER (PARTITION BY s1) AS s_ncand, row_number() OVER (PARTITION BY s1 ORDER BY round(score, 6) DESC, qid) AS s_rank FROM cut),
-truth AS (SELECT id AS qid, canon AS s1 FROM rec WHERE NOT is_ref),
-pairs AS (SELECT qid, s1, country, round(round(score, 6) / (round(score, 6) + 20.0::DOUBLE), 6) AS p FROM pruned JOIN (SELECT id AS qid, country FROM rec) USING (qid)),
-assigned AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY p DESC, s1) = 1),
-kept AS (SELECT * FROM rec WHERE is_ref AND {bucket_sql('id', WORLD.seed, world.BUCKETS)} < CASE country WHEN 'en' THEN 7000 WHEN 'fr' THEN 5000 ELSE 10000 END)
-"""
-
-
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    return block.candidates(refs, queries)
-
-
-def pairs_with_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, s1, country, p): pruned candidates with a probability that only their score makes."""
-    score = F.round("score", 6)
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    p = block.prune(candidates(spark, sf_dir)).withColumn("p", F.round(score / (score + 20.0), 6))
-    return p.join(queries.select(F.col("id").alias("qid"), "country"), "qid").select("qid", "s1", "country", "p")
+@query("SELECT id, country, src, canon, is_ref, name, address FROM raw")
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task A's raw text."""
+    return tasks.raw_records(spark, sf_dir)
 
 
 @query("SELECT id, country, src, canon, is_ref, nm, nm_cmp, ad, ad_hn FROM tok")
@@ -86,55 +40,74 @@ def link_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.records(spark, sf_dir).select("id", "country", "src", "canon", "is_ref", "nm", "nm_cmp", "ad", "ad_hn")
 
 
-@query("SELECT src, count(*) AS n, count(DISTINCT id) AS n_ids, count(*) FILTER (NOT starts_with('S' || src || '-' || id, 'S2-')) AS n_foreign FROM rec WHERE src = 2 GROUP BY src")
+@query("SELECT id, nm, nm_s, nm_cmp, nm_alt, nm_leg, flags FROM rec")
+def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_name(tasks.raw_records(spark, sf_dir), "name").select("id", *NAME_FIELDS)
+
+
+@query("SELECT id, ad, ad_nums, ad_hn, ad_unit FROM rec")
+def normalised_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_address(tasks.raw_records(spark, sf_dir), "address").select("id", *ADDRESS_FIELDS)
+
+
+@query("SELECT s.src, count(*) AS n, count(DISTINCT id) AS n_ids, count(*) FILTER (rec.src <> s.src) AS n_foreign FROM (SELECT unnest([1, 2, 3]) AS src) s JOIN rec ON rec.is_ref = (s.src = 1) GROUP BY s.src")
 def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = tasks.records(spark, sf_dir).filter("src = 2").withColumn("entity_id", F.concat(F.lit("S"), "src", F.lit("-"), "id"))
-    return tables.audit(x, 2).select(F.lit(2).alias("src"), "n", "n_ids", "n_foreign")
+    """One row a source. Sources 2 and 3 share a file here, so that each finds the other's ids foreign."""
+    t = tasks.Task(spark, sf_dir)
+    x = t.records.withColumn("entity_id", F.concat(F.lit("S"), "src", F.lit("-"), "id"))
+    rows = [tables.audit(x.filter(F.col("is_ref") == (n == 1)), n).select(F.lit(n).alias("src"), "n", "n_ids", "n_foreign") for n in (1, 2, 3)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT country, count(*) AS n FROM rec GROUP BY ALL")
 def country_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.records(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n"))
+    t = tasks.Task(spark, sf_dir)
+    return t.records.groupBy("country").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'S1-' || s1 AS s1, 'S' || src || '-' || qid AS qid, src FROM truth JOIN (SELECT id AS qid, src FROM rec) USING (qid)")
 def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth as one row a reference with joined ids, taken apart again."""
-    _, queries, _ = tasks.sides(spark, sf_dir)
-    named = queries.select(F.concat(F.lit("S1-"), "canon").alias("source1_entity_id"), F.concat(F.lit("S"), "src", F.lit("-"), "id").alias("qid"))
+    t = tasks.Task(spark, sf_dir)
+    named = t.queries.filter("canon IS NOT NULL").select(F.concat(F.lit("S1-"), "canon").alias("source1_entity_id"), F.concat(F.lit("S"), "src", F.lit("-"), "id").alias("qid"))
     joined = named.groupBy("source1_entity_id").agg(F.array_join(F.collect_list("qid"), ",").alias("matched_entity_ids"))
     return tables.true_pairs(joined).select("s1", "qid", "src")
 
 
 @query("SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id FROM rec")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.numbered(tasks.records(spark, sf_dir).select("id"), "id").select("idx", "id")
+    t = tasks.Task(spark, sf_dir)
+    return tables.numbered(t.records.select("id"), "id").select("idx", "id")
 
 
 @query("SELECT id, country, is_ref, ty, key FROM allkeys")
 def blocking_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
     keep = ("id", "country", "is_ref")
     return keys.with_keys(refs, True, keep).unionByName(keys.with_keys(queries, False, keep))
 
 
 @query("SELECT country, ty, key, df, round(w, 6) AS w FROM weights")
 def key_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, _ = tasks.sides(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    refs = t.refs
     return block.key_weights(keys.with_keys(refs, True), refs).withColumn("w", F.round("w", 6))
 
 
 @query("SELECT qid, s1, round(score, 6) AS score, nk, rank FROM cand")
 def block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).withColumn("score", F.round("score", 6)).select("qid", "s1", "score", "nk", "rank")
+    t = tasks.Task(spark, sf_dir)
+    return t.candidates.withColumn("score", F.round("score", 6)).select("qid", "s1", "score", "nk", "rank")
 
 
 @query("""SELECT * FROM (SELECT count(*) AS n_true, count(rank) AS n_found, """ + ", ".join(f"round(count(*) FILTER (rank <= {k})::DOUBLE / count(*), 6) AS recall_at_{k}" for k in (1, 2, 3, 5, 8, 12)) + """ FROM truth LEFT JOIN cand USING (qid, s1)),
 (SELECT round(avg(CASE WHEN g = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (tp + 0.25::DOUBLE * g) END), 6) AS oracle_f05, count(*) FILTER (g > 0 AND tp = 0) AS lost FROM (
   SELECT id, count(qid) AS g, count(rank) AS tp FROM (SELECT id FROM rec WHERE is_ref) LEFT JOIN (SELECT truth.s1 AS id, qid, rank FROM truth LEFT JOIN cand USING (qid, s1)) USING (id) GROUP BY id))""")
 def blocking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, truth = tasks.sides(spark, sf_dir)
-    return block.oracle_report(candidates(spark, sf_dir), truth, refs)
+    t = tasks.Task(spark, sf_dir)
+    refs, truth = t.refs, t.truth
+    return block.oracle_report(t.candidates, truth, refs)
 
 
 ROUNDED = ("score", "rel", "gap_best", "gap_second")
@@ -142,12 +115,14 @@ ROUNDED = ("score", "rel", "gap_best", "gap_second")
 
 @query("SELECT qid, s1, nk, rank, q_ncand_raw, s_ncand, s_rank, round(score, 5) AS score, round(rel, 5) AS rel, round(gap_best, 5) AS gap_best, round(gap_second, 5) AS gap_second FROM pruned")
 def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block.prune(candidates(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ROUNDED})
+    t = tasks.Task(spark, sf_dir)
+    return t.pruned.withColumns({c: F.round(c, 5) for c in ROUNDED})
 
 
 @query("SELECT country, nm, count(*) AS n FROM rec WHERE is_ref AND nm <> '' GROUP BY ALL")
 def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, _ = tasks.sides(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    refs = t.refs
     return text_features.shared_counts(refs, "nm", "n")
 
 
@@ -155,18 +130,20 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT country, list(t) AS common FROM (SELECT country, t, count(*) AS df FROM (SELECT country, unnest(list_distinct(u)) AS t FROM tok) GROUP BY ALL) JOIN (SELECT country, count(*) AS n FROM rec GROUP BY ALL) USING (country)
   WHERE df > 0.02::DOUBLE * n AND NOT regexp_full_match(t, '[0-9]+') GROUP BY country) USING (country)""")
 def core_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_features.core_address(tasks.records(spark, sf_dir))
+    t = tasks.Task(spark, sf_dir)
+    return text_features.core_address(t.records)
 
 
 TFIDF = """, tf AS (SELECT id, t, count(*) AS n FROM (SELECT id, {tokens} AS t FROM tok) WHERE t <> '' GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY ALL),
-raw AS (SELECT id, t, (1 + ln(n)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM rec)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (t)),
-unit AS (SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)
+weighed AS (SELECT id, t, (1 + ln(n)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM rec)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (t)),
+unit AS (SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighed)
 SELECT qid, s1, round(coalesce(c, 0), 6) AS {name} FROM pruned LEFT JOIN (SELECT qid, s1, sum(a.w * b.w) AS c FROM pruned JOIN unit a ON a.id = qid JOIN unit b ON b.id = s1 AND b.t = a.t GROUP BY ALL) USING (qid, s1)"""
 
 
 def _cosine(spark: SparkSession, sf_dir: str, field: str, grams: int, name: str) -> DataFrame:
-    rows = text_features.tfidf(tasks.records(spark, sf_dir), field, grams)
-    return text_features.cosine(block.prune(candidates(spark, sf_dir)), rows, name).withColumn(name, F.round(name, 6)).select("qid", "s1", name)
+    t = tasks.Task(spark, sf_dir)
+    rows = text_features.tfidf(t.records, field, grams)
+    return text_features.cosine(t.pruned, rows, name).withColumn(name, F.round(name, 6)).select("qid", "s1", name)
 
 
 def name_word_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +171,9 @@ coalesce(abs(try_cast(q.ad_hn AS DOUBLE) - try_cast(s.ad_hn AS DOUBLE)) / greate
 CASE WHEN q.ad_hn <> '' AND s.ad_hn <> '' THEN levenshtein(q.ad_hn, s.ad_hn) ELSE -1 END::INT AS hn_lev, levenshtein(q.nm, s.nm)::INT AS nm_lev, levenshtein(q.nm_cmp, s.nm_cmp)::INT AS cmp_lev
 FROM pruned JOIN tok q ON q.id = qid JOIN tok s ON s.id = s1""")
 def exact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    x = features.both_sides(block.prune(candidates(spark, sf_dir)), queries, refs)
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
+    x = features.both_sides(t.pruned, queries, refs)
     names = ("nm_exact", "cmp_exact", "nm_ntok_q", "ad_ntok_s", "ad_q_empty", "hn_eq", "hn_trunc", "hn_q_missing", "nums_common", "src3", "hn_reldiff", "acr_eq", "hn_lev", "nm_lev", "cmp_lev")
     of = features.exact_features()
     return x.select("qid", "s1", *[of[n].alias(n) for n in names])
@@ -203,51 +181,60 @@ def exact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    cores = text_features.core_address(tasks.records(spark, sf_dir))
-    x = features.both_sides(block.prune(candidates(spark, sf_dir)), queries.join(cores, "id"), refs.join(cores, "id"))
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
+    cores = text_features.core_address(t.records)
+    x = features.both_sides(t.pruned, queries.join(cores, "id"), refs.join(cores, "id"))
     return x.select("qid", "s1", *[c.alias(n) for n, c in features.fuzzy_features().items()])
 
 
 @query("SELECT qid, s1, round(CASE WHEN q.nm = '' OR s.nm = '' THEN (q.nm = s.nm)::INT ELSE jaro_winkler_similarity(q.nm, s.nm) END, 6) AS jw FROM pruned JOIN rec q ON q.id = qid JOIN rec s ON s.id = s1")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    x = features.both_sides(block.prune(candidates(spark, sf_dir)), queries, refs, ("nm",))
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
+    x = features.both_sides(t.pruned, queries, refs, ("nm",))
     return x.select("qid", "s1", F.round(fuzzy.score("jw", F.col("q_nm"), F.col("s_nm")), 6).alias("jw"))
 
 
 @query()
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    return features.build(block.prune(candidates(spark, sf_dir)), queries, refs)
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
+    return features.build(t.pruned, queries, refs)
 
 
 @query(f"""SELECT qid, s1, y, cluster, {bucket_sql('cluster', 11, 4)} AS fold, {bucket_sql('cluster', 23, 1000)} / 1000.0::DOUBLE AS u FROM (
 SELECT pruned.qid, pruned.s1, (pruned.s1 = truth.s1)::INT AS y, 's' || truth.s1 AS cluster FROM pruned JOIN truth USING (qid))""")
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, truth = tasks.sides(spark, sf_dir)
-    return world.with_folds(block.prune(candidates(spark, sf_dir)).select("qid", "s1"), truth).select("qid", "s1", "y", "cluster", "fold", "u")
+    t = tasks.Task(spark, sf_dir)
+    truth = t.truth
+    return world.with_folds(t.pruned.select("qid", "s1"), truth).select("qid", "s1", "y", "cluster", "fold", "u")
 
 
 @query("SELECT id, country, 1 AS kept FROM kept UNION ALL SELECT id, country, 0 FROM rec WHERE is_ref AND id NOT IN (SELECT id FROM kept)")
 def kept_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, _ = tasks.sides(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    refs = t.refs
     side = lambda df, k: df.select("id", "country", F.lit(k).alias("kept"))
     return side(world.kept(refs, WORLD), 1).unionByName(side(world.dropped(refs, WORLD), 0))
 
 
-@query(f"""SELECT id, country FROM (SELECT *, CASE WHEN is_true THEN 'true' ELSE 'orphan' END AS kind FROM (SELECT id, country, canon IN (SELECT id FROM kept) AS is_true FROM rec WHERE NOT is_ref)) x
-JOIN (SELECT country, t, o, least(o, round(t * target / (1 - target))) AS want FROM (SELECT country, count(*) FILTER (canon IN (SELECT id FROM kept)) AS t, count(*) FILTER (canon NOT IN (SELECT id FROM kept)) AS o, CASE WHEN country = 'en' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS target FROM rec WHERE NOT is_ref GROUP BY country)) USING (country)
-WHERE kind = 'true' OR {bucket_sql('id', WORLD.seed + 1, world.BUCKETS)} < CASE WHEN o > 0 THEN ceil({world.BUCKETS} * want / o) ELSE 0 END""")
+@query(f"""SELECT id, country FROM (SELECT id, country, CASE WHEN canon IN (SELECT id FROM kept) THEN 'true' WHEN canon IS NOT NULL THEN 'orphan' ELSE 'natural' END AS kind FROM rec WHERE NOT is_ref) x JOIN (
+  SELECT *, least(o, want - want_n) AS want_o FROM (SELECT *, least(n, round(n / "all"::DOUBLE * (t + want))) AS want_n FROM (SELECT *, least(n + o, round(t * target / (1 - target))) AS want FROM (
+  SELECT country, count(*) AS "all", count(*) FILTER (canon IN (SELECT id FROM kept)) AS t, count(*) FILTER (canon IS NOT NULL AND canon NOT IN (SELECT id FROM kept)) AS o, count(*) FILTER (canon IS NULL) AS n,
+  CASE WHEN country = 'ASIA' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS target FROM rec WHERE NOT is_ref GROUP BY country)))) USING (country)
+WHERE kind = 'true' OR {bucket_sql('id', WORLD.seed + 1, world.BUCKETS)} < CASE WHEN kind = 'natural' THEN CASE WHEN n > 0 THEN ceil({world.BUCKETS} * want_n / n) ELSE 0 END ELSE CASE WHEN o > 0 THEN ceil({world.BUCKETS} * want_o / o) ELSE 0 END END""")
 def world_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, truth = tasks.sides(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    refs, queries, truth = t.refs, t.queries, t.truth
     return world.select_queries(queries, truth, world.kept(refs, WORLD), WORLD).select("id", "country")
 
 
-@query("SELECT id, country FROM rec WHERE NOT is_ref AND canon IN (SELECT id FROM kept)")
+@query("SELECT id, country FROM rec WHERE NOT is_ref AND (canon IN (SELECT id FROM kept) OR canon IS NULL AND id IN (SELECT qid FROM cand WHERE rank = 1 AND s1 IN (SELECT id FROM kept)))")
 def anchored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, truth = tasks.sides(spark, sf_dir)
-    return world.select_anchored(queries, truth, world.kept(refs, WORLD), candidates(spark, sf_dir).filter("rank = 1")).select("id", "country")
+    t = tasks.Task(spark, sf_dir)
+    refs, queries, truth = t.refs, t.queries, t.truth
+    return world.select_anchored(queries, truth, world.kept(refs, WORLD), t.candidates.filter("rank = 1")).select("id", "country")
 
 
 @query("""SELECT qid, s1, q_n, q_isbest, s_nconf, s_nbest, s_prank, round(q_pmax, 6) AS q_pmax, round(q_p2, 6) AS q_p2, round(q_psum, 6) AS q_psum, round(p / (q_psum + 0.000001::DOUBLE), 6) AS q_share, round(p - CASE WHEN q_isbest = 1 THEN q_p2 ELSE q_pmax END, 6) AS q_margin,
@@ -255,7 +242,8 @@ round(s_psum, 6) AS s_psum, round(s_psum_best, 6) AS s_psum_best, round(s_pmax,
 SELECT *, sum(p) OVER s AS s_psum, count(*) FILTER (p > 0.5) OVER s AS s_nconf, (sum(q_isbest) OVER s)::BIGINT AS s_nbest, sum(p * q_isbest) OVER s AS s_psum_best, max(p) OVER s AS s_pmax, coalesce(list_sort(list(p) OVER s, 'DESC')[2], 0) AS s_p2, least(row_number() OVER (PARTITION BY s1 ORDER BY p DESC, qid), 8)::INT AS s_prank FROM (
 SELECT *, (p >= q_pmax)::INT AS q_isbest FROM (SELECT *, max(p) OVER q AS q_pmax, coalesce(list_sort(list(p) OVER q, 'DESC')[2], 0) AS q_p2, sum(p) OVER q AS q_psum, count(*) OVER q AS q_n FROM pairs WINDOW q AS (PARTITION BY qid))) WINDOW s AS (PARTITION BY s1))""")
 def context_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = context.competition(pairs_with_p(spark, sf_dir))
+    t = tasks.Task(spark, sf_dir)
+    x = context.competition(t.pairs)
     rounded = ("q_pmax", "q_p2", "q_psum", "q_share", "q_margin", "s_psum", "s_psum_best", "s_pmax", "s_pmax_other")
     return x.select("qid", "s1", "q_n", "q_isbest", "s_nconf", "s_nbest", "s_prank", *[F.round(c, 6).alias(c) for c in rounded])
 
@@ -269,25 +257,32 @@ def _sib(name: str, keys_: str, own: str) -> str:
 (sum(he * conf) OVER s - he * conf)::BIGINT AS sib_hn_eq_s, round(sum(he * p) OVER s - he * p, 6) AS sib_hn_eq_s_p, (sum(ne * conf) OVER s - ne * conf)::BIGINT AS sib_nm_eq_s, round(sum(ne * p) OVER s - ne * p, 6) AS sib_nm_eq_s_p FROM (
 SELECT qid, s1, p, (p > 0.5)::INT AS conf, q.ad_hn AS hq, q.nm_cmp AS nq, q.ad AS aq, (q.ad_hn = s.ad_hn)::INT AS he, (q.nm_cmp = s.nm_cmp)::INT AS ne FROM pairs JOIN tok q ON q.id = qid JOIN tok s ON s.id = s1) WINDOW s AS (PARTITION BY s1)""")
 def sibling_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, _ = tasks.sides(spark, sf_dir)
-    x = context.siblings(pairs_with_p(spark, sf_dir), queries, refs)
+    t = tasks.Task(spark, sf_dir)
+    refs, queries = t.refs, t.queries
+    x = context.siblings(t.pairs, queries, refs)
     return x.select(*[F.round(c, 6).alias(c) if c.endswith("_p") else c for c in x.columns])
 
 
 @query("SELECT qid, s1, p FROM assigned")
 def assign_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.argmax(pairs_with_p(spark, sf_dir)).select("qid", "s1", "p")
+    t = tasks.Task(spark, sf_dir)
+    return decide.argmax(t.pairs).select("qid", "s1", "p")
 
 
 @query("SELECT s1, qid FROM assigned WHERE p >= 0.8::DOUBLE")
 def threshold_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.by_threshold(decide.argmax(pairs_with_p(spark, sf_dir)), 0.8)
+    return _matches(tasks.Task(spark, sf_dir))
+
+
+def _matches(t: tasks.Task) -> DataFrame:
+    return decide.by_threshold(decide.argmax(t.pairs), 0.8)
 
 
-@query("SELECT qid, s1, round(p * r / (p * r + 1 - p), 6) AS p FROM (SELECT *, CASE country WHEN 'en' THEN 0.5::DOUBLE WHEN 'fr' THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END AS r FROM assigned)")
+@query("SELECT qid, s1, round(p * r / (p * r + 1 - p), 6) AS p FROM (SELECT *, CASE country WHEN 'AFRICA' THEN 0.5::DOUBLE WHEN 'ASIA' THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END AS r FROM assigned)")
 def odds_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = decide.argmax(pairs_with_p(spark, sf_dir))
-    return x.select("qid", "s1", F.round(decide.shrink_odds(F.col("p"), decide.parse_odds("en:0.5,fr:0.3,*:0.8"), F.col("country")), 6).alias("p"))
+    t = tasks.Task(spark, sf_dir)
+    x = decide.argmax(t.pairs)
+    return x.select("qid", "s1", F.round(decide.shrink_odds(F.col("p"), decide.parse_odds("AFRICA:0.5,ASIA:0.3,*:0.8"), F.col("country")), 6).alias("p"))
 
 
 @query("""SELECT s1, qs[unnest(range(1, k + 1))] AS qid, k, round(e, 6) AS expected FROM (
@@ -301,7 +296,8 @@ SELECT s1, list(p ORDER BY p DESC, qid) AS ps, list(qid ORDER BY p DESC, qid) AS
 SELECT *, 0.02::DOUBLE * sum(p) OVER (PARTITION BY s1) AS lam, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, qid) AS n FROM assigned) WHERE n <= 16 GROUP BY s1))))
 QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(e, 12) DESC, k) = 1)""".replace("list_product(list_transform(ps, lambda x: 1 - x))", "list_reduce(list_prepend(1.0::DOUBLE, list_transform(ps, lambda x: 1 - x)), lambda a, b: a * b)"))
 def expected_f_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = decide.by_expected_f(decide.argmax(pairs_with_p(spark, sf_dir)), miss_odds=0.02)
+    t = tasks.Task(spark, sf_dir)
+    x = decide.by_expected_f(decide.argmax(t.pairs), miss_odds=0.02)
     return x.withColumn("expected", F.round("expected", 6)).withColumn("k", F.col("k").cast("long"))
 
 
@@ -309,78 +305,79 @@ def expected_f_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN (SELECT s1, count(*) AS k_ FROM assigned WHERE p >= 0.8::DOUBLE GROUP BY s1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS g_ FROM truth GROUP BY s1) USING (s1)
 LEFT JOIN (SELECT s1, count(*) AS tp_ FROM assigned JOIN truth USING (s1, qid) WHERE p >= 0.8::DOUBLE GROUP BY s1) USING (s1), LATERAL (SELECT coalesce(k_, 0) AS k, coalesce(g_, 0) AS g, coalesce(tp_, 0) AS tp)""")
 def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, truth = tasks.sides(spark, sf_dir)
-    return decide.macro_f05(threshold_matches(spark, sf_dir), truth, refs.select(F.col("id").alias("s1")))
+    t = tasks.Task(spark, sf_dir)
+    refs, truth = t.refs, t.truth
+    return decide.macro_f05(_matches(t), truth, refs.select(F.col("id").alias("s1")))
 
 
 @query("SELECT id AS s1, coalesce(ids, '') AS matched FROM (SELECT id FROM rec WHERE is_ref) LEFT JOIN (SELECT s1 AS id, string_agg(q, ',' ORDER BY q) AS ids FROM (SELECT DISTINCT s1, qid::VARCHAR AS q FROM assigned WHERE p >= 0.8::DOUBLE) GROUP BY s1) USING (id)")
 def match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, _ = tasks.sides(spark, sf_dir)
-    return tables.id_lists(refs, threshold_matches(spark, sf_dir), "matched")
+    t = tasks.Task(spark, sf_dir)
+    refs = t.refs
+    return tables.id_lists(refs, _matches(t), "matched")
 
 
 @query("SELECT (SELECT count(*) FROM rec WHERE is_ref) AS n_refs, (SELECT count(DISTINCT id) FROM rec WHERE is_ref) AS n_ref_ids, (SELECT count(*) FROM assigned WHERE p >= 0.8::DOUBLE) AS n_matches, 0::BIGINT AS n_foreign")
 def output_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, _, _ = tasks.sides(spark, sf_dir)
-    return tables.contract(refs, threshold_matches(spark, sf_dir), candidates(spark, sf_dir))
+    t = tasks.Task(spark, sf_dir)
+    refs = t.refs
+    return tables.contract(refs, _matches(t), t.candidates)
 
 
 @query("SELECT qid, s1, round(avg(p), 6) AS p FROM (SELECT qid, s1, p FROM pairs UNION ALL SELECT qid, s1, p * p FROM pairs WHERE p > 0.7::DOUBLE) GROUP BY ALL")
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pairs_with_p(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    x = t.pairs
     return model.ensemble([x, x.filter("p > 0.7D").withColumn("p", F.col("p") * F.col("p"))]).withColumn("p", F.round("p", 6))
 
 
 @query("SELECT qid, s1, round((p + p * p) / 2, 6) AS p FROM pairs WHERE p > 0.7::DOUBLE")
 def stack_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pairs_with_p(spark, sf_dir)
+    t = tasks.Task(spark, sf_dir)
+    x = t.pairs
     return model.stacked([x, x.filter("p > 0.7D").withColumn("p", F.col("p") * F.col("p"))]).withColumn("p", F.round("p", 6))
 
 
 @query("SELECT qid, s1, round(1 / (1 + exp(-(0.9::DOUBLE * ln(greatest(least(p, 0.999999::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(p, 0.999999::DOUBLE), 0.000001::DOUBLE))) + 0.4::DOUBLE * (p - 0.5::DOUBLE) - 0.1::DOUBLE))), 6) AS p FROM pairs")
 def blend_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_with_p(spark, sf_dir).select("qid", "s1", F.round(model.blended(F.col("p"), F.col("p") - 0.5, 0.9, 0.4, -0.1), 6).alias("p"))
+    t = tasks.Task(spark, sf_dir)
+    return t.pairs.select("qid", "s1", F.round(model.blended(F.col("p"), F.col("p") - 0.5, 0.9, 0.4, -0.1), 6).alias("p"))
 
 
-@query("""SELECT country, x, y FROM (SELECT *, sum(n) OVER (PARTITION BY country, x) AS total, row_number() OVER (PARTITION BY country, x ORDER BY n DESC, y) AS k FROM (
-SELECT country, x, y, count(*) AS n FROM (SELECT q.country, list_filter(q.t, lambda a: NOT list_contains(s.t, a)) AS add, list_filter(s.t, lambda a: NOT list_contains(q.t, a)) AS gone, list_distinct(add)[1] AS x, list_distinct(gone)[1] AS y FROM truth JOIN tok q ON q.id = qid JOIN tok s ON s.id = s1)
-WHERE len(list_distinct(add)) = 1 AND len(list_distinct(gone)) = 1 GROUP BY country, x, y)) b LEFT JOIN (SELECT country, item AS x, count(*) AS held FROM (SELECT country, unnest(list_distinct(t)) AS item FROM tok WHERE is_ref) GROUP BY ALL) h USING (country, x)
-WHERE k = 1 AND n >= 1 AND n / total::DOUBLE >= 0.5 AND NOT regexp_matches(x || y, '[0-9]') AND x NOT IN ('""" + "','".join(sorted(set(maps.ADDRESS_ABBREVIATIONS.values()))) + """') AND coalesce(held, 0) <= 0.2::DOUBLE * n""")
-def learned_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that true pairs exchange one for one; every support counts here, since near copies repeat few of them."""
-    refs, queries, truth = tasks.sides(spark, sf_dir)
-    t = lambda df, key, name: df.select(F.col("id").alias(key), "country" if key == "qid" else F.lit(None).alias("_c"), F.filter(words(F.col("nm")), lambda w: F.length(w) > 1).alias(name))
-    pairs = truth.join(t(queries, "qid", "a2"), "qid").join(t(refs, "s1", "a1").drop("_c"), "s1")
-    items = refs.select("country", F.explode(F.array_distinct(F.filter(words(F.col("nm")), lambda w: F.length(w) > 1))).alias("item"))
-    return maps.substitutions(pairs, items, least=1)
+LEARNED = """(SELECT country, x, y FROM (SELECT *, sum(n) OVER (PARTITION BY country, x) AS total, row_number() OVER (PARTITION BY country, x ORDER BY n DESC, y) AS k FROM (
+SELECT country, x, y, count(*) AS n FROM (SELECT q.country, list_filter(q.items, lambda a: NOT list_contains(s.items, a)) AS add, list_filter(s.items, lambda a: NOT list_contains(q.items, a)) AS gone, list_distinct(add)[1] AS x, list_distinct(gone)[1] AS y FROM truth JOIN {side} q ON q.id = qid JOIN {side} s ON s.id = s1)
+WHERE len(list_distinct(add)) = 1 AND len(list_distinct(gone)) = 1 GROUP BY country, x, y)) b LEFT JOIN (SELECT country, item AS x, count(*) AS held FROM (SELECT country, unnest(list_distinct(items)) AS item FROM {side} WHERE is_ref) GROUP BY ALL) h USING (country, x)
+WHERE k = 1 AND n >= {least} AND n / total::DOUBLE >= 0.5 AND NOT regexp_matches(x || y, '[0-9]') AND x NOT IN ('""" + "','".join(sorted(set(maps.ADDRESS_ABBREVIATIONS.values()))) + """') AND coalesce(held, 0) <= 0.2::DOUBLE * n)"""
 
 
-@query(f"""SELECT id, translate(w, 'aeiouyhw', '') AS c, CASE WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9]+(st|nd|rd|th|er|e|eme)$') THEN translate(w, '01568', 'olsgb') ELSE w END AS plain FROM (SELECT id, coalesce(u[1], '') AS w FROM tok)""")
-def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.coalesce(F.get(words(F.col("ad")), F.lit(0)), F.lit(""))
-    x = tasks.records(spark, sf_dir).select("id", w.alias("w"))
-    return x.select("id", F.regexp_replace("w", "[aeiouyhw]", "").alias("c"), unleet(F.col("w")).alias("plain"))
+@query("SELECT * FROM " + LEARNED.format(side="(SELECT *, u AS items FROM tok)", least=2))
+def learned_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of addresses that true pairs exchange one for one."""
+    t = tasks.Task(spark, sf_dir)
+    return maps.learned_tokens(t.truth, t.queries, t.refs, least=2)
 
 
-@query()
-def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = tasks.table(spark, sf_dir, "customer")
-    latin = core(words(fold(F.col("c_name"))))
-    return x.select("c_custkey", normalise_name(F.col("c_name")).alias("n"), latin.alias("l"), consonants(fold(F.col("c_name"))).alias("c")).select("c_custkey", "n.*", F.array_join("l.core", " ").alias("latin_core"), "c")
+SINGLE = "translate(w, 'aeiouyhw', '')"
+for letter in "bcdfgjklmnpqrstvxz0123456789":  # RE2 has no references to groups
+    SINGLE = f"regexp_replace({SINGLE}, '{letter}{letter}+', '{letter}', 'g')"
 
 
-@query()
-def normalised_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = tasks.table(spark, sf_dir, "part")
-    return x.select("p_partkey", normalise_address(F.concat_ws(", ", "p_name", F.col("p_size").cast("string")), F.lit("US")).alias("a")).select("p_partkey", "a.*")
+@query(f"""SELECT id, {SINGLE} AS c, CASE WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9]+(st|nd|rd|th|er|e|eme)$') THEN translate(w, '01568', 'olsgb') ELSE w END AS plain
+FROM (SELECT id, coalesce(list_filter(string_split(lower(coalesce(name, '')), ' '), lambda x: x <> '' AND regexp_full_match(x, '[a-z0-9]+'))[1], '') AS w FROM raw)""")
+def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consonants and undone digits of each raw name's first word of letters and digits."""
+    first = F.get(F.filter(words(F.lower(F.coalesce("name", F.lit("")))), lambda w: w.rlike("^[a-z0-9]+$")), F.lit(0))
+    x = tasks.raw_records(spark, sf_dir).select("id", F.coalesce(first, F.lit("")).alias("w"))
+    return x.select("id", consonants(F.col("w")).alias("c"), unleet(F.col("w")).alias("plain"))
 
 
 FEATURES = ("score", "rel", "gap_best", "gap_second", "nm_exact", "cmp_exact", "nm_lev", "cmp_lev", "hn_eq", "q_ncand_raw", "s_ncand")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, queries, truth = tasks.sides(spark, sf_dir)
-    pruned = block.prune(candidates(spark, sf_dir))
+    t = tasks.Task(spark, sf_dir)
+    refs, queries, truth = t.refs, t.queries, t.truth
+    pruned = t.pruned
     x = features.both_sides(pruned, queries, refs)
     of = features.exact_features()
     x = x.select("qid", "s1", *[c for c in FEATURES if c in pruned.columns], *[of[c].alias(c) for c in FEATURES if c in of])
@@ -390,30 +387,32 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Honest scores of boosted trees, calibrated by isotonic maps of each country and the pooled one."""
+    t = tasks.Task(spark, sf_dir)
     rows = _labelled(spark, sf_dir).persist()
     models = model.fit_folds(rows, list(FEATURES), folds=2, trees=5, depth=3)
     scored = model.out_of_fold(models, rows, list(FEATURES))
-    _, queries, _ = tasks.sides(spark, sf_dir)
+    queries = t.queries
     x = scored.join(queries.select(F.col("id").alias("qid"), "country"), "qid")
     return model.calibrate(x, model.isotonic(x)).select("qid", "s1", "country", "y", "p")
 
 
 @query()
 def blend_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, truth = tasks.sides(spark, sf_dir)
-    x = world.with_folds(pairs_with_p(spark, sf_dir), truth).withColumn("other", F.col("p") - 0.5)
+    t = tasks.Task(spark, sf_dir)
+    truth = t.truth
+    x = world.with_folds(t.pairs, truth).withColumn("other", F.col("p") - 0.5)
     a, b, c = model.fit_blend(x)
     return x.select("qid", "s1", model.blended(F.col("p"), F.col("other"), a, b, c).alias("p"))
 
 
-GRAM = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
 FOLDED = f"list_filter(string_split(trim(regexp_replace(translate(lower(coalesce(text, '')), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+GRAMS = "unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))"
 
 
-@query(f""", items AS (SELECT item_id, unnest({GRAM}) AS k FROM (SELECT item_id, {FOLDED} AS w FROM benchmark) WHERE len(w) >= 5),
-rare AS (SELECT item_id, k FROM items JOIN (SELECT k FROM items GROUP BY k HAVING count(*) <= 20) USING (k)), sizes AS (SELECT item_id, count(*) AS n FROM rare GROUP BY ALL),
-grams AS (SELECT doc_id, unnest({GRAM}) AS k FROM folded WHERE len(w) >= 5)
-SELECT doc_id, item_id, nk, round(nk / n::DOUBLE, 6) AS share FROM (SELECT doc_id, item_id, count(*) AS nk FROM grams JOIN rare USING (k) GROUP BY ALL) JOIN sizes USING (item_id) WHERE round(nk / n::DOUBLE, 6) >= 0.5""")
+@query(f""", items AS (SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {FOLDED} AS w FROM benchmark) WHERE len(w) > 0),
+keys AS (SELECT item_id, {GRAMS} AS k FROM items), sizes AS (SELECT item_id, count(*) AS n FROM keys GROUP BY ALL),
+grams AS (SELECT doc_id, {GRAMS} AS k FROM (SELECT doc_id, {FOLDED} AS w FROM documents) d JOIN (SELECT DISTINCT n FROM items) i ON len(w) >= i.n)
+SELECT doc_id, item_id, nk, round(nk / n::DOUBLE, 6) AS share FROM (SELECT doc_id, item_id, count(*) AS nk FROM grams JOIN keys USING (k) GROUP BY ALL) JOIN sizes USING (item_id) WHERE round(nk / n::DOUBLE, 6) >= 0.5""")
 def passage_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.passages(spark, sf_dir)
 
