@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes that an Arrow batch of a text operator may have.
 BATCH_BYTES = 8 << 20
+#: Rows of a key from which it is joined by broadcast, and rows that a broadcast list has at most.
+HOT_ROWS, BROADCAST_ROWS = 256, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +75,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with ``side``, which has one row a key and in ``size`` how many of ``rows`` have it (written before, since it is read three times).
+
+    Hot keys are joined by broadcast, so that no task gets all rows of one; fewer than BROADCAST_ROWS keys can be
+    hot, because the limit rises with the number of rows. The others are joined by a shuffle.
+    """
+    total = side.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    limit = max(HOT_ROWS, -(-int(total) // BROADCAST_ROWS))
+    hot = F.broadcast(side.filter(F.col(size) > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(side.filter(F.col(size) <= limit), keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
