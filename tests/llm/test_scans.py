@@ -112,6 +112,24 @@ def test_secrets(docs, rows, edges):
         ("password_hint: 'blue house number 7'", []),
         ("db_pwd = 'changeme'", []),
         ("In prose: the token of honour.", []),
+        ("the key: understanding that it's late, don't worry", []),
+        ("cfg['pwd'] = 'Xk29fjQ0zz81'", ["Xk29fjQ0zz81"]),
+        ('os.environ["DB_PWD"] = "Xk29fjQ0zz81"', ["Xk29fjQ0zz81"]),
+        ("<db_pwd>Xk29fjQ0zz81</db_pwd>", ["Xk29fjQ0zz81"]),
+        ("client_secret_pwd = '''Xk29fjQ0zz81'''", ["Xk29fjQ0zz81"]),
+        ("db_pwd: |\n  Xk29fjQ0zz81\n  Qq81mmZ0rT44\nother: Xk29fjQ0zz83", ["Xk29fjQ0zz81", "Qq81mmZ0rT44"]),
+        ('base = "Xk29fjQ0zz81"\nurl_pwd = "${base}"', ["Xk29fjQ0zz81"]),
+        ("BASE=Xk29fjQ0zz81\nDB_PWD=$BASE", ["Xk29fjQ0zz81"]),
+        ("pwd = later\nlater = 'Xk29fjQ0zz81'", ["Xk29fjQ0zz81"]),
+        ("a = 'Xk29fj'\nb = 'Q0zz81'\npwd = a + b", ["Xk29fj", "Q0zz81"]),
+        ("pwd: str = 'Xk29fjQ0zz81'", ["Xk29fjQ0zz81"]),
+        ('pwd = f"{base}"\nbase = "Xk29fjQ0zz81"', ["Xk29fjQ0zz81"]),
+        ("pwd = ('Xk29fj'\n  'Q0zz81')", ["Xk29fj", "Q0zz81"]),
+        ("x = 'Xk29fjQ0zz81'\nx = 'other Xk29fjQ0zz82'\npwd = x", []),
+        ("pwd = a\na = b\nb = a", []),
+        ("pwd = getpass('Xk29fjQ0zz81')", []),
+        ('pwd = "unterminated', []),
+        ("pwd = '''", []),
     ],
 )
 def test_lexer(text, literals):
@@ -122,3 +140,28 @@ def test_lexer(text, literals):
 @given(st.text("toke=: 'AKIA0f", max_size=60))
 def test_secret_kinds(text):
     assert [s[:3] for s in secrets.spans_of(text, 0.6) if s[0] != "literal"] == base_secrets(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.lists(st.one_of(st.integers(0, 4), st.integers(10, 14)), min_size=1, max_size=3)), min_size=1, max_size=7))
+def test_propagation(program):
+    """Assignments of constants and concatenations: a name has its last assignment before a use, else the first after."""
+    name = lambda k: "pwd" if k == 0 else f"v{k}"
+    literal = lambda line, k: f"Xk{line}9{k}fjQ0zz"
+    lines = [f"{name(target)} = " + " + ".join(name(p) if p < 10 else f"'{literal(n, p)}'" for p in parts) for n, (target, parts) in enumerate(program)]
+
+    def value(n, seen):
+        out = []
+        for p in program[n][1]:
+            if p >= 10:
+                out.append(literal(n, p))
+            elif p not in seen:
+                given_ = [k for k, (target, _) in enumerate(program) if target == p]
+                before = [k for k in given_ if k < n]
+                if given_:
+                    out += value(before[-1] if before else given_[0], seen | {p})
+        return out
+
+    want = {x for n, (target, _) in enumerate(program) if target == 0 for x in value(n, {0})}
+    text = "\n".join(lines)
+    assert {text[a:b] for k, a, b, _ in secrets.spans_of(text, 0.6) if k == "literal"} == want
