@@ -173,6 +173,28 @@ def test_url_purity(spark):
     assert got[200] == "block" and got[1] == "block"
 
 
+def url_tree(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert {i: (v, t, s) for i, v, t, s in con.execute(f"SELECT page_id, verdict, template, share FROM ({urls.oracle()})").fetchall()} == {i: (r["verdict"], r["template"], r["share"]) for i, r in got.items()}
+    return got
+
+
+def test_url_tree(spark):
+    """Names that vary under one node become wildcards there and nowhere else, at any depth; similar siblings share their counts, and what has no label leans on what is above it."""
+    rows = [(i, f"http://h.com/de/news/slug{chr(97 + i % 26)}{i}/view") for i in range(30)]  # blocked by a rule, and variable
+    rows += [(100 + i, f"http://h.com/it/{('news', 'shop')[i % 2]}/{i % 3}") for i in range(6)]  # no label
+    rows += [(200 + i, f"http://k.com/fr/ok/{i}") for i in range(30)] + [(250, "http://k.com/it/ok/1")]
+    rows += [(300 + i, f"http://m.com/{'de' if i % 3 else 'fr'}/a/b/c/d/e/{'x' * (i % 5)}z") for i in range(30)] + [(350, "http://m.com/it/a")]
+    got = url_tree(spark, rows)
+    assert got[0]["template"] == "/de/news/*/view" and got[0]["rule"] == "com/de/"
+    assert got[100]["template"] == "/it/news/*" and got[101]["template"] == "/it/shop/*" and got[100]["rule"] is None
+    assert got[100]["verdict"] == "block" and got[250]["verdict"] == "allow" and got[100]["share"] > 0.9 > 0.2 > got[250]["share"]
+    assert 0.2 < got[350]["share"] < 0.7 and got[350]["verdict"] == "allow" and got[301]["template"] == "/de/a/b/c/d/e/xz"
+
+
 def test_decontaminate(spark, docs, rows, edges, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r["item_id"]: decontaminate.words_of(r["text"]) for r in bench.collect()}
