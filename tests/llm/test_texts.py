@@ -136,6 +136,13 @@ LONG = "a long sentence of the article, which goes on for a while and then ends.
         (f"<article><p>{LONG}</p></article><p>by</p>", [LONG]),
         ("<div class=cookie-notice>We use cookies on all of the pages that are here</div>", []),
         ("<div><a href=x>one</a></div><div><a href=x>two</a></div><div><a href=x>three</a></div>", []),
+        (f"<article><h1>T</h1><p>{LONG}</p><section id=comments><article class='comment-body'><p>{LONG}</p></article></section></article>", ["T", LONG]),
+        (f"<main><article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article></main>", [LONG]),
+        (f"<div class='layout has-sidebar'><div><p>{LONG}</p><p class='promotion-free'>{LONG}</p></div><div class='sidebar'>{LONG}</div></div>", [LONG, LONG]),
+        (f"<article><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p></article>", ["Head", LONG]),
+        (f"<article><header><h1>Head</h1><p>by me</p></header><p>{LONG}</p></article>", ["Head", LONG]),
+        (f"<ul>{'<li>a menu entry without any mark</li>' * 30}</ul><div><h1>Head</h1><p>{LONG}</p><p>End.</p></div>", ["Head", LONG, "End."]),  # the menu is longer than the article
+        (f"<article>teaser of this</article><div class=x><p>{LONG}</p><p>{LONG}</p></div><article><p>{LONG}</p></article>", [LONG, LONG, LONG]),
     ],
 )
 def test_html_without_marks(page, text):
@@ -143,6 +150,24 @@ def test_html_without_marks(page, text):
     assert [x for x in got if x not in ("", "teaser")] == [x.strip() for x in text]
 
 
+def test_html_surge_decides(monkeypatch):
+    page = f"<ul>{'<li>a menu entry without any mark</li>' * 30}</ul><div><p>{LONG}</p></div><article><p>a teaser</p></article>"
+    assert html.main_text(page) == LONG.strip()
+    monkeypatch.setattr(html, "surged", lambda weights, *_: [w > 0 for w in weights])
+    assert html.main_text(page).count("menu") == 30 and "teaser" in html.main_text(page)
+
+
+@pytest.mark.parametrize("markup", ["<div>x ", "<ul><li class='a b'>x ", "<div class='comments'>x ", "<p><span>x ", "<i>x</b> "])
+def test_html_depth_is_linear(markup):
+    def seconds(n):
+        began = time.process_time()
+        html.main_text(markup * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 14 * (seconds(4000) + 0.02)
+
+
 def test_html_pages(spark, sf):
     import html as h
     import re
