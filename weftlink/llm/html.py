@@ -3,7 +3,7 @@
 Markup is stripped into lines, one a block, each with the length of its own text; links, and whatever stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, have no length.
 Lengths are summed over sliding windows of lines; text surges where a window rises over a threshold, which comes from
-the page's own windows, with text in the next one too, and dives where windows fall to nothing. Lines of text between
+the page's own windows, by its first line alone or with text in the next one too, and dives where windows fall to nothing. Lines of text between
 a surge and its dive are kept, and so is other text of their section. Article and main elements are evidence: one that
 text surged in is kept whole, but for what stands aside.
 """
@@ -248,7 +248,7 @@ def surged(weights: list[int], regions: list[int], sections: list[int], window:
     keep, inside = [False] * n, False
     for i in range(n):
         inside = inside and regions[i] == regions[i - 1] and sums[i] > 0
-        if not inside and sums[i] >= threshold and (i + 1 == n or sums[i + 1] > 0 or regions[i + 1] != regions[i]):  # a surge: it begins with the first line of text in its window
+        if not inside and sums[i] >= threshold and (weights[i] >= threshold or i + 1 < n and sums[i + 1] > 0):  # a surge: it begins with the first line of text in its window
             inside = True
             back = i
             while back > 0 and back > i - half and weights[back - 1] and regions[back - 1] == regions[i] and sections[back - 1] == sections[i]:
