@@ -108,6 +108,26 @@ def test_vectors(spark, monkeypatch):
     assert hnsw.linked(df.limit(0)).count() == 0
 
 
+def test_vectors_counted(spark, monkeypatch):
+    """Hits that are counted and not listed, and classes whose ids are all null."""
+    monkeypatch.setattr(hnsw, "LISTED", 3)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    x = [centre + 0.02 * rng.normal(size=16) for _ in range(60)] + [rng.normal(size=16) for _ in range(60)]
+    x += [x[70] + 0.05 * rng.normal(size=16), x[70] + 0.05 * rng.normal(size=16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(None, x[80].tolist())] * 2 + [(None, rng.normal(size=16).tolist())] * 2 + [(None, (x[0] * 3).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = hnsw.linked(df).collect()
+    v = np.array([np.array(r[1]) / np.linalg.norm(r[1]) for r in rows])
+    near = v @ v.T >= 0.9
+    want = sorted((r[0] if r[0] is not None else -1, int(n) - 1) for r, n in zip(rows, near.sum(axis=1)))
+    assert sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"]) for r in got) == want
+    by = {r["vec_id"]: r for r in got if r["vec_id"] is not None}
+    assert all(by[i]["component_id"] == 0 for i in range(60)) and by[120]["component_id"] == by[121]["component_id"] == 70
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["vec_id"] is None)
+
+
 def test_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 32)).astype("float32")
@@ -170,3 +190,15 @@ def test_language_stage_rejects(spark, edges, sf):
     train = spark.createDataFrame([(100 + i, "the words of a language that is learned here", "en", "s", 1) for i in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = {r["doc_id"] for r in corpus_pipeline.language(spark, edges.select(*corpus_pipeline.COLUMNS).unionByName(train), sf).collect()}
     assert not left & {0, 1, 2, 8, 10} and set(range(100, 120)) <= left
+
+
+def test_run(spark, edges, sf, tmp_path):
+    """The whole pipeline over empty, null, repeated and clashing rows."""
+    train = spark.createDataFrame([(100 + i, f"the words of a language that is learned here, text {i} of many others {i * i}", "en", "s", 1, "x", 0.5) for i in range(20)], edges.schema)
+    null = spark.createDataFrame([(None, "a text without an id, written in the language that is learned here", None, None, None, None, None)], edges.schema)
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    edges.unionByName(train).unionByName(null).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert None in got and not {0, 1, 2, 10} & set(got) and len(got) == len(set(got)) and 3 in got
+    edges.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

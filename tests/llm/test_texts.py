@@ -104,6 +104,45 @@ def test_code_lengths():
     assert tree.bits(unseen)[0] == pytest.approx(np.log2((4 + 2) / 2) + 8)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abc ", min_size=1, max_size=12), min_size=1, max_size=4), st.text("abcd ", min_size=1, max_size=10))
+def test_code_lengths_by_hand(sample, text):
+    """The code length of each byte, from counts of plain contexts: escapes from the longest context that was seen on."""
+    import math
+    from collections import Counter, defaultdict
+
+    seen = defaultdict(Counter)
+    for t in sample:
+        padded = "\n" * 3 + t
+        for i in range(3, len(padded)):
+            for order in range(4):
+                seen[padded[i - order : i]][padded[i]] += 1
+    want, padded = 0.0, "\n" * 3 + text
+    for i in range(3, len(padded)):
+        for order in (3, 2, 1, 0):
+            after = seen.get(padded[i - order : i])
+            if after and padded[i] in after:
+                want += math.log2((sum(after.values()) + len(after)) / after[padded[i]])
+                break
+            if after:
+                want += math.log2((sum(after.values()) + len(after)) / len(after))
+        else:
+            want += 8
+    got = langid.Model({"x": [t.encode() for t in sample]}).totals([text.encode()])
+    assert got[0, 0] == pytest.approx(want)
+
+
+def test_labelled_sample(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 3), ("en", "fr")[i % 2]) for i in range(60)] + [(100, "x", None), (101, None, "en"), (102, "", "en")], "doc_id int, text string, lang string")
+    whole = {r["text"].encode() for r in docs.filter("text <> ''").collect()}
+    full = langid.labelled_sample(docs, 400, "doc_id", "text", "lang")
+    assert set(full) == {"en", "fr"} and all(t in whole for v in full.values() for t in v)
+    few = langid.labelled_sample(docs, 5, "doc_id", "text", "lang")
+    assert all(len(v) == 5 and set(v) <= set(full[k]) for k, v in few.items())
+    short = langid.labelled_sample(docs, 400, "doc_id", "text", "lang", label_chars=100)
+    assert all(100 <= sum(map(len, v)) < 160 for v in short.values())
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><a href="/">menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p><b>One <i>two</i>
 three<br><p>Four&nbsp;five &lt;tag&gt;</p><form><input value=x>go</form><aside>side</aside><div class="comments"><p>nice</p></div><ul><li>a<li>b</ul></article><footer>&copy; f</footer></body></html>"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftlink.sources.shared import removed, written  # noqa: F401 (for the operators)
+
 #: Bytes that an Arrow batch of a text operator may have.
 BATCH_BYTES = 8 << 20
 #: Rows of a key from which it is joined by broadcast, and rows that a broadcast list has at most.
@@ -24,13 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches are held to BATCH_BYTES: ten thousand long texts in one batch would fill a worker's memory."""
+    """df, after the session's Arrow batches are held to BATCH_BYTES, for as long as the session lives: ten thousand long texts in one batch would fill a worker's memory, and the setting is read when a query runs. A smaller limit stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub("[^0-9]", "", conf.get(key))) > BATCH_BYTES:
+    if bytes_of(conf.get(key)) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def bytes_of(setting: str) -> int:
+    """A size with or without a unit; a limit that is not positive is none."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([a-z]*)\s*", setting.lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit[:1] if unit[:1] in set("kmgtp") else " ")
+    return size if size > 0 else 1 << 62
+
+
 def need(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns only: other columns can't clash with what an operator adds."""
     small_batches(df)
@@ -62,19 +70,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
     released()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see. In tests, where it is unset, the session's warehouse serves."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with ``side``, which has one row a key and in ``size`` how many of ``rows`` have it (written before, since it is read three times).
 

@@ -28,7 +28,7 @@ SHORT_WEIGHT, SHORT_SPAN = 5, 11
 #: Equal words that a segment needs (or that many of a shorter item), and the share of its words that must be equal.
 LEAST, SHARE, PRICE = 13, 0.8, 4
 #: Bytes of benchmark text that a task holds at once; larger benchmarks go in blocks, each against all rows.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -61,11 +61,15 @@ class Seeds:
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[object, np.ndarray]] = []
+        same: dict[bytes, int] = {}
+        self.items: list[tuple[list[object], np.ndarray]] = []  # items of equal words are one, with all their ids
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                self.items.append((item, np.array(ids, dtype="uint64")))
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype="uint64")
+            if len(ids):
+                k = same.setdefault(ids.tobytes(), len(self.items))
+                if k == len(self.items):
+                    self.items.append(([], ids))
+                self.items[k][0].append(item)
         lengths = {len(ids) for _, ids in self.items}
         self.masks = sorted({m for n in lengths for m in masks_for(n)})
         self.tables = []
@@ -185,10 +189,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches):
-                found = shared.value.hits(batch.column(1).to_pylist())
+                found = [(row, item, *rest) for row, k, *rest in shared.value.hits(batch.column(1).to_pylist()) for item in shared.value.items[k][0]]
                 cols = list(zip(*found, strict=True)) or [()] * 6
                 ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
-                items = pa.array([shared.value.items[k][0] for k in cols[1]], item_type)
+                items = pa.array(cols[1], item_type)
                 yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(c, pa.int64()) for c in cols[2:])], names=["id", "item", "doc_start", "item_start", "length", "equal"])
 
         part = source.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, doc_start bigint, item_start bigint, length bigint, equal bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftlink.llm.common import written
+from weftlink.llm.common import removed, written
 
 
 def _starred(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = sign(now)
     for _ in range(most):
-        now = written(_starred(now), name)
+        last, now = now, written(_starred(now), name)
+        removed(last)
         if (after := sign(now)) == before:
             break
         before = after

@@ -23,8 +23,8 @@ PAD = b"\n" * ORDER
 #: Positions that are scored at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
-#: Labels that a model may have.
-LABELS = 1000
+#: Labels that a model may have; characters of whole texts that it is fitted on, in all and for a label at most.
+LABELS, FIT_CHARS, LABEL_CHARS = 1000, 32 << 20, 1 << 20
 
 
 def keys_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +128,8 @@ class Model:
         return out
 
 
-def labelled_sample(docs: DataFrame, rows: int, chars: int, id_col: str, text_col: str, label_col: str) -> dict[str, list[bytes]]:
-    """At most ``rows`` excerpts of at most ``chars`` characters a language, from rows whose crc32 of the id isn't divisible by 5.
-
-    The rows of a language with the smallest hashes are taken; an excerpt starts at a place that the hash gives.
-    """
+def labelled_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, label_col: str, fit_chars: int = FIT_CHARS, label_chars: int = LABEL_CHARS) -> dict[str, list[bytes]]:
+    """Whole texts of each language, from rows whose crc32 of the id isn't divisible by 5: in the order of a hash, at most ``rows``, until they hold ``label_chars`` characters, or an equal part of ``fit_chars`` where labels are many."""
     docs = need(docs, id_col, text_col, label_col)
     of_id = F.col(f"`{id_col}`").cast("string")
     text = F.col(f"`{text_col}`")
@@ -146,12 +143,10 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int, id_col: str, text_co
     # Hashes below a label's threshold leave about twice as many rows as are taken, however many there are.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["_label"], min(1.0, 2.0 * rows / r["count"] + 20.0 / r["count"]))])
     below = F.pmod(F.xxhash64(of_id), F.lit(1 << 32)) / float(1 << 32) < F.element_at(share, F.col("_label"))
-    drawn = fit.filter(below).select(
-        F.col("_label").alias("lang"),
-        F.xxhash64(of_id).alias("h"),
-        F.substring(text, F.lit(1) + F.pmod(F.xxhash64(of_id, F.lit(1)), F.greatest(F.length(text) - chars, F.lit(1))).cast("int"), F.lit(chars)).alias("text"),
-    )
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= rows)
+    drawn = fit.filter(below).select(F.col("_label").alias("lang"), F.xxhash64(of_id).alias("h"), text.alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    held = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = drawn.withColumns({"rank": F.row_number().over(order), "held": held}).filter((F.col("rank") <= rows) & (F.col("held") < min(label_chars, fit_chars // len(counts))))
     out: dict[str, list[bytes]] = {}
     for r in ranked.select("lang", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"].lower().encode())
@@ -160,16 +155,16 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int, id_col: str, text_co
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-    rows: int = 400, chars: int = 2048, samples: dict[str, list[bytes]] | None = None, keep: tuple[str, ...] = (), with_text: bool = False,
+    rows: int = 400, samples: dict[str, list[bytes]] | None = None, keep: tuple[str, ...] = (), with_text: bool = False,
 ) -> DataFrame:
     """(id_col, keep..., [text_col,] lang_pred, score, bits) of every row; bits: of the best language, a byte.
 
-    Fitted on at most ``rows`` excerpts of ``chars`` characters for each label (see labelled_sample), or on ``samples``;
-    every whole text is scored. A null text and one without a letter give ``und``, score 0 and null bits, as does
+    Fitted on at most ``rows`` whole texts of about LABEL_CHARS characters for each label (see labelled_sample), or on
+    ``samples``; every whole text is scored. A null text and one without a letter give ``und``, score 0 and null bits, as does
     every text where no row is labelled. Repeated rows give a row each; columns other than ``keep`` are ignored;
     an empty table gives an empty table.
     """
-    model = Model(labelled_sample(docs, rows, chars, id_col, text_col, label_col) if samples is None else samples)
+    model = Model(labelled_sample(docs, rows, id_col, text_col, label_col) if samples is None else samples)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = need(docs, id_col, *keep, text_col)
     last = len(source.columns) - 1
