@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftlink.functions import fuzzy
 from weftlink.functions.sampling import bucket, bucket_sql
 from weftlink.functions.text import ACCENTED, ADDRESS_FIELDS, NAME_FIELDS, PLAIN, consonants, unleet, with_address, with_name, words
-from weftlink.operators import block, context, decide, features, keys, maps, model, text_features, world
+from weftlink.operators import block, chain, context, decide, features, keys, maps, model, stage2, text_features, tune, world
 from weftlink.plans import tasks
 from weftlink.plans.base_sql import BASE, WORLD
 from weftlink.sources import tables
+from weftlink.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,7 +286,7 @@ def odds_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("qid", "s1", F.round(decide.shrink_odds(F.col("p"), decide.parse_odds("AFRICA:0.5,ASIA:0.3,*:0.8"), F.col("country")), 6).alias("p"))
 
 
-@query("""SELECT s1, qs[unnest(range(1, k + 1))] AS qid, k, round(e, 6) AS expected FROM (
+EXPECTED = """SELECT s1, qs[unnest(range(1, k + 1))] AS qid, k, round(e, 6) AS expected FROM (
 SELECT s1, qs, k, e FROM (
 SELECT s1, qs, k, CASE WHEN k = 0 THEN list_product(list_transform(ps, lambda x: 1 - x)) * ws[1] ELSE (
   SELECT sum(taken[t + 1] * lft[o + 1] * ws[j + 1] * 1.25::DOUBLE * t / (k + 0.25::DOUBLE * (t + o + j))) FROM (SELECT unnest(range(0, len(taken))) AS t), (SELECT unnest(range(0, len(lft))) AS o), (SELECT unnest([0, 1, 2]) AS j)) END AS e FROM (
@@ -293,8 +294,15 @@ SELECT *, list_reduce(list_prepend([1.0::DOUBLE], list_transform(ps[1:k], lambda
   list_reduce(list_prepend([1.0::DOUBLE], list_transform(ps[k + 1:], lambda x: [x])), lambda a, x: list_transform(range(1, len(a) + 2), lambda i: coalesce(a[i], 0) * (1 - x[1]) + CASE WHEN i > 1 THEN a[i - 1] * x[1] ELSE 0 END)) AS lft FROM (
 SELECT s1, ps, qs, [exp(-lam), exp(-lam) * lam, 1 - exp(-lam) - exp(-lam) * lam] AS ws, unnest(range(0, len(ps) + 1)) AS k FROM (
 SELECT s1, list(p ORDER BY p DESC, qid) AS ps, list(qid ORDER BY p DESC, qid) AS qs, any_value(lam) AS lam FROM (
-SELECT *, 0.02::DOUBLE * sum(p) OVER (PARTITION BY s1) AS lam, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, qid) AS n FROM assigned) WHERE n <= 16 GROUP BY s1))))
-QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(e, 12) DESC, k) = 1)""".replace("list_product(list_transform(ps, lambda x: 1 - x))", "list_reduce(list_prepend(1.0::DOUBLE, list_transform(ps, lambda x: 1 - x)), lambda a, b: a * b)"))
+SELECT *, __MISS__::DOUBLE * sum(p) OVER (PARTITION BY s1) AS lam, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, qid) AS n FROM assigned) WHERE n <= 16 GROUP BY s1))))
+QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(e, 12) DESC, k) = 1)""".replace("list_product(list_transform(ps, lambda x: 1 - x))", "list_reduce(list_prepend(1.0::DOUBLE, list_transform(ps, lambda x: 1 - x)), lambda a, b: a * b)")
+
+
+def expected_sql(miss: float, source: str = "assigned") -> str:
+    return EXPECTED.replace("__MISS__", str(miss)).replace("FROM assigned", f"FROM {source}")
+
+
+@query(expected_sql(0.02))
 def expected_f_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks.Task(spark, sf_dir)
     x = decide.by_expected_f(decide.argmax(t.pairs), miss_odds=0.02)
@@ -371,6 +379,128 @@ def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", consonants(F.col("w")).alias("c"), unleet(F.col("w")).alias("plain"))
 
 
+F05 = "CASE WHEN g = 0 AND k = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (k + 0.25::DOUBLE * g) END"
+GRID_SQL = "(SELECT unnest([" + ", ".join(map(str, tune.GRID)) + "]::DOUBLE[]) AS tau)"
+
+
+def sets_sql(pred: str, keys_: str, rules: str) -> str:
+    """(keys, s1, country, g, f) for predictions (keys, s1, qid) under each of the rules (keys)."""
+    return f"""(SELECT {keys_}, s1, country, g, {F05} AS f FROM (SELECT {keys_}, id AS s1, country, coalesce(g, 0) AS g, coalesce(k, 0) AS k, coalesce(tp, 0) AS tp FROM (SELECT id, country FROM rec WHERE is_ref) e CROSS JOIN {rules} r
+LEFT JOIN (SELECT s1 AS id, count(*) AS g FROM truth GROUP BY ALL) USING (id)
+LEFT JOIN (SELECT {keys_}, p.s1 AS id, count(*) AS k, count(truth.qid) AS tp FROM {pred} p LEFT JOIN truth ON truth.s1 = p.s1 AND truth.qid = p.qid GROUP BY ALL) USING (id, {keys_})))"""
+
+
+AT_TAUS = f"(SELECT tau, s1, qid FROM assigned, {GRID_SQL} WHERE p >= tau)"
+
+
+@query(f""", rules AS (SELECT 'tau_' || tau AS rule FROM {GRID_SQL} UNION ALL SELECT 'ef_raw' UNION ALL SELECT 'ef_raw_miss'),
+preds AS (SELECT 'tau_' || tau AS rule, s1, qid FROM {AT_TAUS} UNION ALL SELECT 'ef_raw', s1, qid FROM ({expected_sql(0.0)}) UNION ALL SELECT 'ef_raw_miss', s1, qid FROM ({expected_sql(0.02)})),
+scores AS (SELECT rule, round(avg(f), 6) AS f05 FROM {sets_sql('preds', 'rule', 'rules')} GROUP BY ALL)
+SELECT rule, f05, row_number() OVER (ORDER BY f05 DESC, rule) = 1 AS chosen FROM scores""")
+def tuned_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and expected-F rules on raw scores; isotonic rules are in tune.tuned too, which SQL can't follow."""
+    t = tasks.Task(spark, sf_dir)
+    return tune.tuned(decide.argmax(t.pairs), t.truth, t.entities, 0.02, isotonic=False)
+
+
+@query(f"SELECT country, count(*) AS n, round(avg(f), 6) AS f05, count(*) FILTER (g = 0) AS n_single, round(avg(f) FILTER (g = 0), 6) AS f05_single FROM {sets_sql('(SELECT 1 AS one, s1, qid FROM assigned WHERE p >= 0.8::DOUBLE)', 'one', '(SELECT 1 AS one)')} GROUP BY ALL")
+def f05_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks.Task(spark, sf_dir)
+    return tune.by_country(_matches(t), t.truth, t.entities)
+
+
+def held_out_sql(part: str, name: str) -> str:
+    return f""", f AS (SELECT tau, {part} AS part, f FROM {sets_sql(AT_TAUS, 'tau', GRID_SQL)}), sums AS (SELECT part, tau, sum(f) AS f, count(*) AS n FROM f GROUP BY ALL),
+others AS (SELECT *, round((sum(f) OVER t - f) / nullif(sum(n) OVER t - n, 0), 9) AS o FROM sums WINDOW t AS (PARTITION BY tau))
+SELECT part AS {name}, tau, round(f / n, 6) AS f05 FROM others QUALIFY row_number() OVER (PARTITION BY part ORDER BY coalesce(o, 0) DESC, tau) = 1"""
+
+
+@query(held_out_sql(bucket_sql("s1", 31, 2), "half"))
+def held_out_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks.Task(spark, sf_dir)
+    return tune.held_out_halves(decide.argmax(t.pairs), t.truth, t.entities)
+
+
+@query(held_out_sql("country", "country"))
+def leave_one_country_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks.Task(spark, sf_dir)
+    return tune.leave_one_country_out(decide.argmax(t.pairs), t.truth, t.entities)
+
+
+@query("""SELECT country, n_assigned, round(share, 6) AS decoy_share, n_true, found, round((n_true - found)::DOUBLE / nullif(found, 0), 6) AS odds FROM (
+SELECT country, count(*) AS n_assigned, 1 - count(truth.qid) / count(*)::DOUBLE AS share FROM assigned LEFT JOIN truth USING (qid, s1) GROUP BY country) JOIN (
+SELECT country, count(*) AS n_true, count(cand.qid) AS found FROM truth JOIN (SELECT id AS qid, country FROM rec) USING (qid) LEFT JOIN cand USING (qid, s1) GROUP BY country) USING (country)""")
+def measured_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks.Task(spark, sf_dir)
+    shares = tune.decoy_shares(decide.argmax(t.pairs), t.truth).select("country", F.col("n").alias("n_assigned"), F.round("share", 6).alias("decoy_share"))
+    miss = tune.miss_odds(t.candidates, t.truth, t.queries).select("country", F.col("n").alias("n_true"), "found", F.round("odds", 6).alias("odds"))
+    return shares.join(miss, "country")
+
+
+BLENDED = """, members AS (SELECT qid, s1, country, avg(p) AS p FROM (SELECT qid, s1, country, p FROM pairs UNION ALL SELECT qid, s1, country, p * p FROM pairs WHERE p > 0.7::DOUBLE) GROUP BY ALL),
+rescored AS (SELECT qid, s1, country, CASE WHEN ce IS NULL THEN p ELSE 1 / (1 + exp(-(0.9::DOUBLE * ln(greatest(least(p, 0.999999::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(p, 0.999999::DOUBLE), 0.000001::DOUBLE))) + 0.4::DOUBLE * ce - 0.1::DOUBLE))) END AS p
+  FROM members LEFT JOIN (SELECT qid, s1, p - 0.5::DOUBLE AS ce FROM pairs WHERE p < 0.8::DOUBLE) USING (qid, s1)),
+top AS (SELECT * FROM rescored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY p DESC, s1) = 1),
+shrunk AS (SELECT qid, s1, country, p * r / (p * r + 1 - p) AS p FROM (SELECT *, CASE country WHEN 'AFRICA' THEN 0.5::DOUBLE WHEN 'ASIA' THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END AS r FROM top WHERE country <> 'EUROPE'))"""
+
+
+def _final_pairs(t: tasks.Task) -> DataFrame:
+    second = t.pairs.filter("p > 0.7D").withColumn("p", F.col("p") * F.col("p"))
+    ce = t.pairs.filter("p < 0.8D").select("qid", "s1", (F.col("p") - 0.5).alias("ce"))
+    return chain.blended_members([t.pairs, second], [ce, ce], (0.9, 0.4, -0.1))
+
+
+@query(BLENDED + """, matched AS (SELECT s1, qid FROM shrunk WHERE p >= 0.6::DOUBLE UNION ALL SELECT s1, qid FROM top WHERE country = 'EUROPE' AND p >= 0.85::DOUBLE)
+SELECT id AS s1, coalesce(ids, '') AS matched FROM (SELECT id FROM rec WHERE is_ref) LEFT JOIN (SELECT s1 AS id, string_agg(q, ',' ORDER BY q) AS ids FROM (SELECT DISTINCT s1, qid::VARCHAR AS q FROM matched) GROUP BY s1) USING (id)""")
+def ensemble_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain by a threshold; one country has no calibrator and a threshold of its own."""
+    t = tasks.Task(spark, sf_dir)
+    found = chain.matches(_final_pairs(t), t.countries, decide.parse_odds("AFRICA:0.5,ASIA:0.3,*:0.8"), tau=0.6, unseen={"EUROPE": 0.85})
+    return tables.id_lists(t.refs, found, "matched")
+
+
+@query(BLENDED + f""" SELECT s1, qid FROM ({expected_sql(0.02, "shrunk")}) UNION ALL SELECT s1, qid FROM top WHERE country = 'EUROPE' AND p >= 0.85::DOUBLE""")
+def ensemble_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain with sets of the best expected F0.5."""
+    t = tasks.Task(spark, sf_dir)
+    return chain.matches(_final_pairs(t), t.countries, decide.parse_odds("AFRICA:0.5,ASIA:0.3,*:0.8"), miss=0.02, unseen={"EUROPE": 0.85})
+
+
+@query("""SELECT qid, s1, round(p1, 6) AS p1, round(p2, 6) AS p2, coalesce(q.name, '') || ' | ' || coalesce(q.address, '') AS q_text, coalesce(s.name, '') || ' | ' || coalesce(s.address, '') AS s_text
+FROM (SELECT qid, s1, p AS p1, p * p AS p2 FROM pairs WHERE p > 0.05::DOUBLE AND p < 0.6::DOUBLE OR p * p > 0.05::DOUBLE AND p * p < 0.6::DOUBLE) JOIN raw q ON q.id = qid JOIN raw s ON s.id = s1""")
+def rescoring_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain pairs with both sides' raw text, as a re-scorer takes them."""
+    t = tasks.Task(spark, sf_dir)
+    band = chain.uncertain(t.pairs, t.pairs.withColumn("p", F.col("p") * F.col("p")), 0.05, 0.6)
+    return band.join(chain.texts(band, t.queries, t.refs), ["qid", "s1"]).select("qid", "s1", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"), "q_text", "s_text")
+
+
+@query("SELECT s1, qid, q.src, s.name AS n1, s.address AS a1, s.country, q.name AS n2, q.address AS a2 FROM truth JOIN raw q ON q.id = qid JOIN raw s ON s.id = s1")
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True pairs of the united sources 2 and 3 with raw text of both sides."""
+    t = tasks.Task(spark, sf_dir)
+    named = lambda df: df.select(F.col("id").alias("entity_id"), F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")
+    united = tables.union_sources(*((n, named(t.queries.filter(F.col("src") == n))) for n in (2, 3)))
+    pairs = t.truth.join(united.select(F.col("entity_id").alias("qid"), "src"), "qid")
+    return tables.labelled(pairs, named(t.refs), united.drop("src")).select("s1", "qid", "src", "n1", "a1", "country", "n2", "a2")
+
+
+@query(", learned AS " + LEARNED.format(side="(SELECT *, u AS items FROM tok)", least=2) + ", typos AS (SELECT x, min(y) AS y FROM learned WHERE y IN ('" + "','".join(sorted(set(maps.ADDRESS_ABBREVIATIONS.values()))) + """') GROUP BY x)
+SELECT rec.id, coalesce(m.ad, '') AS ad FROM rec LEFT JOIN (SELECT id, string_agg(coalesce(learned.y, typos.y, x), ' ' ORDER BY i) AS ad FROM (SELECT id, country, unnest(u) AS x, unnest(range(len(u))) AS i FROM tok) LEFT JOIN learned USING (country, x) LEFT JOIN typos USING (x) GROUP BY id) m USING (id)""")
+def mapped_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses normalised with the substitutions learned from true pairs."""
+    t = tasks.Task(spark, sf_dir)
+    learned = maps.learned_tokens(t.truth, t.queries, t.refs, least=2)
+    return with_address(tasks.raw_records(spark, sf_dir), "address", "country", tokens=written(learned, "learned")).select("id", "ad")
+
+
+@query()
+def stage2_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 28 context columns of scored pairs."""
+    t = tasks.Task(spark, sf_dir)
+    return stage2.frame(t.pairs, t.queries, t.refs)
+
+
 FEATURES = ("score", "rel", "gap_best", "gap_second", "nm_exact", "cmp_exact", "nm_lev", "cmp_lev", "hn_eq", "q_ncand_raw", "s_ncand")
 
 

@@ -107,6 +107,16 @@ class Task:
         """(qid, s1) of records that have a reference."""
         return self.queries.filter("canon IS NOT NULL").select(F.col("id").alias("qid"), F.col("canon").alias("s1"))
 
+    @property
+    def entities(self) -> DataFrame:
+        """(s1, country) of all references."""
+        return self.refs.select(F.col("id").alias("s1"), "country")
+
+    @property
+    def countries(self) -> DataFrame:
+        """(qid, country) of all queries."""
+        return self.queries.select(F.col("id").alias("qid"), "country")
+
     @cached_property
     def candidates(self) -> DataFrame:
         return written(block.candidates(self.refs, self.queries), "candidates")
