@@ -13,6 +13,7 @@ from weftlink.operators import block, chain, context, decide, features, keys, ma
 from weftlink.plans import tasks
 from weftlink.plans.base_sql import BASE, WORLD
 from weftlink.sources import tables
+from weftlink.sources.artefacts import feature_names
 from weftlink.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,28 +502,14 @@ def stage2_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage2.frame(t.pairs, t.queries, t.refs)
 
 
-FEATURES = ("score", "rel", "gap_best", "gap_second", "nm_exact", "cmp_exact", "nm_lev", "cmp_lev", "hn_eq", "q_ncand_raw", "s_ncand")
-
-
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tasks.Task(spark, sf_dir)
-    refs, queries, truth = t.refs, t.queries, t.truth
-    pruned = t.pruned
-    x = features.both_sides(pruned, queries, refs)
-    of = features.exact_features()
-    x = x.select("qid", "s1", *[c for c in FEATURES if c in pruned.columns], *[of[c].alias(c) for c in FEATURES if c in of])
-    return world.with_folds(x, truth, 2)
-
-
 @query()
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Honest scores of boosted trees, calibrated by isotonic maps of each country and the pooled one."""
+    """Honest scores of boosted trees over all features, calibrated by isotonic maps of each country and the pooled one; few and shallow trees, to keep the check short."""
     t = tasks.Task(spark, sf_dir)
-    rows = _labelled(spark, sf_dir).persist()
-    models = model.fit_folds(rows, list(FEATURES), folds=2, trees=5, depth=3)
-    scored = model.out_of_fold(models, rows, list(FEATURES))
-    queries = t.queries
-    x = scored.join(queries.select(F.col("id").alias("qid"), "country"), "qid")
+    rows = written(world.with_folds(features.build(t.pruned, t.queries, t.refs), t.truth), "labelled")
+    names = feature_names(rows, features.ARTEFACTS)
+    scored = model.out_of_fold(model.fit_folds(rows, names, trees=5, depth=3), rows, names)
+    x = written(scored.join(t.countries, "qid"), "scored")
     return model.calibrate(x, model.isotonic(x)).select("qid", "s1", "country", "y", "p")
 
 
