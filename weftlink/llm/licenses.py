@@ -68,7 +68,25 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",), 0.5),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",), 0.5),
     Template("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution",), 0.6),
+    Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("attribution sharealike",), 0.6),
+    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",), 0.6),
+    Template("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", ("attribution noderivatives",), 0.6),
+    Template("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",), 0.6),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("www apache org licenses license 2 0",)),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    Template("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived",)),
+    Template("gpl-2.0", "either version 2 of the license or at your option any later version", ("either version 2 of the license",)),
+    Template("gpl-3.0", "either version 3 of the license or at your option any later version", ("either version 3 of the license",)),
+    Template("lgpl-2.1", "gnu lesser general public license version 2 1", ("lesser general public license version 2 1",)),
+    Template("lgpl-3.0", "gnu lesser general public license version 3", ("lesser general public license version 3",)),
+    Template("agpl-3.0", "gnu affero general public license version 3", ("affero general public license version 3",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("subject to the terms of the mozilla public license",)),
+    Template("epl", "made available under the terms of the eclipse public license", ("eclipse public license",), 0.6),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    Template("bsl-1.0", "boost software license version 1 0", ("boost software license",)),
 )
 
 
