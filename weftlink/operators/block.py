@@ -33,7 +33,7 @@ def key_weights(keys: DataFrame, references: DataFrame, caps: Caps = Caps()) ->
     """
     n = references.groupBy("country").agg(F.count("*").alias("n_ref"))
     df = keys.groupBy("country", "ty", "key").agg(F.count("*").alias("df"))
-    capped = df.join(F.broadcast(n) if references.select("country").distinct().limit(1001).count() <= 1000 else n, "country")
+    capped = df.join(n, "country")  # one row a country: broadcast at run time where that is small
     return capped.filter(F.col("df") <= caps.of(F.col("ty"), F.col("n_ref"))).select("country", "ty", "key", "df", (F.log("n_ref") - F.log("df")).alias("w"))
 
 
