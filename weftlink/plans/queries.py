@@ -206,7 +206,7 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT qid, s1, y, cluster, {bucket_sql('cluster', 11, 4)} AS fold, {bucket_sql('cluster', 23, 1000)} / 1000.0::DOUBLE AS u FROM (
-SELECT pruned.qid, pruned.s1, (pruned.s1 = truth.s1)::INT AS y, 's' || truth.s1 AS cluster FROM pruned JOIN truth USING (qid))""")
+SELECT pruned.qid, pruned.s1, coalesce(pruned.s1 = truth.s1, false)::INT AS y, coalesce('s' || truth.s1, 'q' || qid) AS cluster FROM pruned LEFT JOIN truth USING (qid))""")
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks.Task(spark, sf_dir)
     truth = t.truth

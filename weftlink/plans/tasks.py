@@ -48,7 +48,7 @@ NAME_WAYS = {
     4: "concat(substr(w1, 1, 2), substr(w1, 4), ' ', w2, generic, legal)", 5: "concat(w2, ' ', w1, generic, legal)", 6: "upper(concat(w1, ' ', w2, generic, legal))",
     7: "concat(replace(w1, 'o', '0'), ' ', replace(w2, 'i', '1'), generic, legal)", 8: "replace(replace(concat(w1, ' ', w2, generic, legal), 'e', 'é'), 'a', 'à')",
     9: "lower(concat('www.', w1, w2, '.com'))", 10: "concat(other, ' LLC dba ', w1, ' ', w2, generic, legal)", 11: "lower(concat('@', w1, w2))",
-    12: "concat(w1, ' ', w2, generic, legal, ' (ID: ', o, ')')", 13: "concat(w1, ' ', w2)", 15: "concat('The ', w1, ' & ', w2, generic)",
+    12: "concat(w1, ' ', w2, generic, legal, ' (ID: ', o, ')')", 13: "concat(w1, ' ', w2)", 14: "concat(substr(w1, 1, 1), substr(w2, 1, 1))", 15: "concat('The ', w1, ' & ', w2, generic)",
 }
 ADDRESS_WAYS = {
     6: "concat(hn, ' ', road, ' ', replace(replace(replace(street, 'Street', 'St.'), 'Avenue', 'Ave'), 'Boulevard', 'Blvd'), ', ', city, unit)",
