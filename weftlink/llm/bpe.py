@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from weftlink.llm.common import need, text_slices
 
 #: Pieces in each of the two generations that a worker remembers, pieces handed to DuckDB at once, tokens decoded at once.
-GENERATION, AT_ONCE, TOKENS_AT_ONCE = 300_000, 60_000, 200_000
+GENERATION, AT_ONCE, TOKENS_AT_ONCE = 120_000, 12_000, 60_000
 #: Bytes of text encoded together; bytes from which a piece contracts at many places at once, and its rounds in a query.
-TEXT_AT_ONCE, LONG, ROUNDS = 4 << 20, 200, 8
+TEXT_AT_ONCE, LONG, ROUNDS = 3 << 19, 200, 8
 #: Bytes of long pieces contracted together, or one longer piece; DuckDB's memory in MB, and its bytes for each byte of a long piece.
-LONG_AT_ONCE, MEMORY_MB, LONG_BYTES = 256 << 10, 200, 1000
+LONG_AT_ONCE, MEMORY_MB, LONG_BYTES = 128 << 10, 160, 1200
 #: Fixed value: a pattern each of whose matches is white space, or a single space at most and then no white space. Texts can be cut before a space that white space neither precedes nor follows.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
