@@ -30,7 +30,7 @@ def encoding(coder):
 
 def test_bpe(docs, rows, edges, encoding):
     for df, of in ((docs.limit(60), rows), (edges, {r["doc_id"]: r["text"] for r in edges.collect()})):
-        got = bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN)
+        got = bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN, room=bpe.TIGHT)
         assert got.count() == df.count()
         sums = {r["doc_id"]: r for r in bpe.digests(got).collect()}
         for r in got.collect():
@@ -74,7 +74,7 @@ def test_bpe_long_equals_short(coder, texts):
 
 
 def test_bpe_generations(coder, encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "GENERATION", 40)
+    monkeypatch.setattr(coder, "room", bpe.Room(40, 7, 30, 100))
     for k in range(6):
         texts = [f"common words return while rareword{k}x{i} goes away  twice \n here " for i in range(12)]
         assert coded(coder, texts) == [encoding.encode_ordinary(t) for t in texts]

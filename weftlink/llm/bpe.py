@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -22,12 +23,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftlink.llm.common import need, text_slices
 
-#: Pieces in each of the two generations that a worker remembers, pieces handed to DuckDB at once, tokens decoded at once.
-GENERATION, AT_ONCE, TOKENS_AT_ONCE = 120_000, 12_000, 60_000
-#: Bytes of text encoded together; bytes from which a piece contracts at many places at once, and its rounds in a query.
-TEXT_AT_ONCE, LONG, ROUNDS = 3 << 19, 200, 8
-#: Bytes of long pieces contracted together, or one longer piece; DuckDB's memory in MB, and its bytes for each byte of a long piece.
-LONG_AT_ONCE, MEMORY_MB, LONG_BYTES = 128 << 10, 160, 1200
+#: Bytes from which a piece contracts at many places at once, and its rounds in a query.
+LONG, ROUNDS = 200, 8
+#: Bytes of long pieces contracted together, or one longer piece, and DuckDB's bytes of memory for each of theirs.
+LONG_AT_ONCE, LONG_BYTES = 128 << 10, 1200
+
+
+@dataclass(frozen=True)
+class Room:
+    """A worker's tables: pieces in each of the two generations that it remembers, pieces handed to DuckDB at once, tokens decoded at once, bytes of text encoded together, DuckDB's memory in MB."""
+
+    generation: int = 300_000
+    at_once: int = 60_000
+    tokens_at_once: int = 200_000
+    text_at_once: int = 4 << 20
+    memory_mb: int = 200
+
+
+#: For workers that have other stages' memory to carry: about 110 MB less, for more pieces contracted again.
+TIGHT = Room(120_000, 12_000, 60_000, 3 << 19, 160)
 #: Fixed value: a pattern each of whose matches is white space, or a single space at most and then no white space. Texts can be cut before a space that white space neither precedes nor follows.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -124,7 +138,7 @@ class Coder:
     over where they are met again, so that what is common stays.
     """
 
-    def __init__(self, ranks: bytes, pattern: str) -> None:
+    def __init__(self, ranks: bytes, pattern: str, room: Room = Room()) -> None:
         import duckdb
         import regex
 
@@ -133,11 +147,12 @@ class Coder:
             raise ValueError("the vocabulary lacks single bytes")
         if max(rank.values()) >= 1 << 17:
             raise ValueError("at most 131,072 ranks fit the packed keys")
+        self.room = room
         self.rank, self.pieces = rank, regex.compile(pattern).findall
         self.spaced, self.uncut = pattern == SPACED, regex.compile(r" \s").search
         self.byte_ids = np.array([rank[bytes([i])] for i in range(256)], dtype="int32")
         self.young, self.old = Generation(), Generation()
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{self.room.memory_mb}MB", "temp_directory": ""})
         early = {rank[part] for token, k in rank.items() for cut in range(1, len(token)) for part in (token[:cut], token[cut:]) if rank.get(part, -1) > k}
         pair, to = [], []
         for token, k in rank.items():
@@ -163,8 +178,8 @@ class Coder:
     def _short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each piece has, and the ids."""
         sizes, ids = [np.zeros(0, "int64")], [np.zeros(0, "<i4")]
-        for begin in range(0, len(raw), AT_ONCE):
-            part = raw[begin : begin + AT_ONCE]
+        for begin in range(0, len(raw), self.room.at_once):
+            part = raw[begin : begin + self.room.at_once]
             lengths = np.fromiter(map(len, part), dtype="int64", count=len(part))
             first = np.cumsum(lengths) - lengths
             place = (np.repeat(np.arange(len(part), dtype="int64"), lengths) << 23) | (np.arange(lengths.sum()) - np.repeat(first, lengths))
@@ -186,12 +201,12 @@ class Coder:
         first = np.cumsum(lengths + 2 * longest + 1) - (lengths + 2 * longest + 1)
         place = np.concatenate([np.arange(n, dtype="int64") + start for n, start in zip(lengths, first, strict=True)])
         ids, merged = self.byte_ids[np.frombuffer(b"".join(raw), dtype="uint8")], 1
-        self.con.sql(f"SET memory_limit = '{max(MEMORY_MB, len(ids) * LONG_BYTES >> 20)}MB'")
+        self.con.sql(f"SET memory_limit = '{max(self.room.memory_mb, len(ids) * LONG_BYTES >> 20)}MB'")
         while merged:
             got = self._ask(CONTRACT_LONG.format(rounds=ROUNDS, longest=longest), "base", place=place, id=ids)
             place, ids, merged = got["place"].to_numpy(), got["id"].to_numpy(), got["merged"][0].as_py()
         self.con.sql("DROP TABLE long_merges")
-        self.con.sql(f"SET memory_limit = '{MEMORY_MB}MB'")
+        self.con.sql(f"SET memory_limit = '{self.room.memory_mb}MB'")
         return np.split(ids.astype("<i4"), np.searchsorted(place, first[1:]))
 
     def contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +248,7 @@ class Coder:
         Texts are cut into chunks first, since equal chunks have equal pieces: before single spaces where the pattern
         allows it, else a text is one chunk.
         """
-        if len(self.young.number) >= GENERATION:
+        if len(self.young.number) >= self.room.generation:
             self.old, self.young = self.young, Generation()
         spaced, apart, codes, counts = Numbered(), Numbered(), [], []
         for text in texts:  # numbers of chunks after a space, and below zero of the others
@@ -282,7 +297,7 @@ class Coder:
         begin = 0
         while begin < len(lengths):
             base = ends[begin] - lengths[begin]
-            end = max(begin + 1, int(np.searchsorted(ends, base + TOKENS_AT_ONCE, "right")))
+            end = max(begin + 1, int(np.searchsorted(ends, base + self.room.tokens_at_once, "right")))
             part = ids[base : ends[end - 1]]
             got = self._ask(DECODE, "tokens", d=np.repeat(np.arange(begin, end, dtype="int32"), lengths[begin:end]), p=np.arange(len(part), dtype="int32"), id=part)
             parts = got["parts"].combine_chunks()
@@ -296,32 +311,32 @@ class Coder:
         return out
 
 
-_coders: dict[tuple[int, str], Coder] = {}
+_coders: dict[tuple[int, str, Room], Coder] = {}
 
 
-def coder(ranks: bytes, pattern: str) -> Coder:
+def coder(ranks: bytes, pattern: str, room: Room = Room()) -> Coder:
     """The worker's coder of a vocabulary, made once."""
-    key = (hash(ranks), pattern)
+    key = (hash(ranks), pattern, room)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Coder(ranks, pattern)
+        _coders[key] = Coder(ranks, pattern, room)
     return _coders[key]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", room: Room = Room()) -> DataFrame:
     """(id_col, ids array<int>, decoded binary) of every row.
 
     Whole texts are encoded, each match of ``pattern`` separately, without special tokens. A null text counts as
     empty; an empty text has no ids and decodes to no bytes. Repeated rows and repeated or null ids give a row
     each; other columns of ``docs`` are ignored, whatever their names. An empty table gives an empty table. The
     rank file (bounded by the vocabulary) is read on the driver and broadcast. A worker's memory grows with its
-    longest piece, by LONG_BYTES bytes for each byte of it; other pieces are bounded by GENERATION and TEXT_AT_ONCE.
+    longest piece, by LONG_BYTES bytes for each byte of it; the rest is bounded by ``room``, which changes no result.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(ranks.value, pattern)
-        for batch in text_slices(batches, most=TEXT_AT_ONCE):
+        c = coder(ranks.value, pattern, room)
+        for batch in text_slices(batches, most=room.text_at_once):
             ids, lengths = c.encode([text or "" for text in batch.column(1).to_pylist()])
             decoded = c.decode(ids, lengths)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
