@@ -1,5 +1,7 @@
 """Blocking: scores don't depend on how rows are dealt."""
 
+from math import log
+
 import pytest
 
 from weftlink.operators import block
@@ -34,3 +36,15 @@ def test_scores_are_sums_in_order(dealt):
         for w in shared:
             want += w
         assert (r["score"], r["nk"]) == (want, len(shared))
+
+
+def test_ties_of_the_cut(dealt):
+    """Three of ten keys of equal weight stay or go as sums in order say, however the rows are dealt."""
+    for n in (2952, 182880, 187740):
+        w = log(n)
+        score, best = w + w + w, 0.0
+        for _ in range(10):
+            best += w
+        rows = dealt.createDataFrame([(q, s, w) for q in range(40) for s, k in ((1, 10), (2, 3)) for _ in range(k)], "qid long, s1 long, w double")
+        cut = block.prune(block.ranked(block.summed(rows.repartition(7)), 12))
+        assert sorted((r["qid"], r["s1"]) for r in cut.collect()) == [(q, s) for q in range(40) for s in ((1, 2) if score >= 0.3 * best else (1,))]
