@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftlink.llm import decontaminate, graph, hnsw, minhash
@@ -84,6 +85,35 @@ def test_groups(spark, monkeypatch):
     assert minhash.groups(df.limit(0)).count() == 0
 
 
+def test_blocks_of_large_buckets(spark):
+    """Copies of a bucket's members stay in proportion to them, and every query meets every member once."""
+    df = spark.range(6000).selectExpr("1L AS bucket", "id", "IF(id < 4500, 0L, id) AS component")
+    rows = minhash.cross_blocks(df).select("qb", "tb", "id", "query").toPandas()
+    assert len(rows) < 5 * 6000
+    met = rows[rows["query"]].merge(rows, on=["qb", "tb"])
+    assert len(met[["id_x", "id_y"]].drop_duplicates()) == 1500 * 6000
+    long = df.filter("id < 3000 OR id >= 5500").withColumn("text", F.repeat(F.lit("x"), 20_000))
+    assert minhash.cross_blocks(long, 64).groupBy("qb", "tb").count().agg(F.max("count")).first()[0] < 3 * minhash.BLOCK_TEXT / 20_000
+
+
+def test_blocks_compare_as_pairs_do():
+    texts = [t for t in variants().values() if t and t != "!!"]
+    sets, block = minhash.multisets(texts), minhash.Multisets(texts)
+    every = np.arange(len(texts))
+    for q in every:
+        assert block.similar(q, every).tolist() == [minhash.similar(sets[q], s) for s in sets]
+    assert block.similar(0, every[:0]).tolist() == []
+    values = minhash.signatures(len(texts), *minhash.weighed(*minhash.shingles(*minhash.word_hashes(texts))))
+    short = (minhash.mix(values) >> np.uint64(32)).astype("<u4")
+    found = minhash.Signatures([x.tobytes() for x in short])
+    for q in every:
+        same = short == short[q]
+        bands = same.reshape(len(texts), minhash.BANDS, minhash.ROWS).all(axis=2)
+        for band in (0, 3, 23):
+            want = (same.sum(axis=1) >= minhash.AGREE) & bands[:, band] & (bands.argmax(axis=1) == band)
+            assert found.near(q, band).tolist() == np.flatnonzero(want).tolist()
+
+
 def test_groups_of_documents(docs, rows):
     assert {r["doc_id"]: r["group_id"] for r in minhash.groups(docs).collect()} == brute_groups(rows)
 
