@@ -158,6 +158,25 @@ def test_vectors_counted(spark, monkeypatch):
     assert all(r["component_id"] is None and r["kept"] for r in got if r["vec_id"] is None)
 
 
+def test_vectors_of_many_shards(spark, caplog):
+    """Queries ask few of many shards and find their links; a cell over a shard's size is split, other lengths stay apart."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x = np.concatenate([x, x + 0.1 * rng.normal(size=x.shape), x[5] + 0.02 * rng.normal(size=(200, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 2.0]), (5001, [1.0, 2.1])]
+    with caplog.at_level("INFO", logger=hnsw.LOG.name):
+        got = {r["vec_id"]: r for r in hnsw.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), shard=60).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want, count = united(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(near))]), near.sum(axis=1) - 1
+    assert len(got) == len(rows) and got[5001]["component_id"] == 5000 and got[5000]["n_links"] == 1
+    assert all(got[i]["n_links"] <= count[i] for i in range(len(x)))
+    assert np.mean([got[i]["n_links"] / count[i] for i in range(len(x)) if count[i]]) >= 0.99
+    assert np.mean([got[i]["component_id"] == want[i] for i in range(len(x))]) >= 0.98
+    said = [r.args[1] for r in caplog.records if r.msg.startswith("beam")]
+    assert len(said) == 1 and set(said[0]) == {256} and 1 <= said[0][256] <= 20  # of 54 centres
+
+
 def test_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 32)).astype("float32")
