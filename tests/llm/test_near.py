@@ -177,6 +177,20 @@ def test_vectors_of_many_shards(spark, caplog):
     assert len(said) == 1 and set(said[0]) == {256} and 1 <= said[0][256] <= 20  # of 54 centres
 
 
+def test_vectors_of_shards_that_are_not_asked(spark, monkeypatch):
+    """Links into shards whose graphs a query doesn't ask are found all the same, listed and counted ones."""
+    monkeypatch.setattr(hnsw, "asked_centres", lambda tallies, whole: 1)
+    monkeypatch.setattr(hnsw, "LISTED", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(250, 32))
+    x = np.concatenate([x, x + 0.25 * rng.normal(size=x.shape), x[5] + 0.25 * rng.normal(size=(100, 32))])
+    got = {r["vec_id"]: r for r in hnsw.linked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), shard=30).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want = united(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(near))])
+    assert all(got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == want[i] for i in range(len(x)))
+
+
 def test_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 32)).astype("float32")
