@@ -191,6 +191,46 @@ def test_vectors_of_shards_that_are_not_asked(spark, monkeypatch):
     assert all(got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == want[i] for i in range(len(x)))
 
 
+def test_vectors_of_one_centre_without_graphs(spark, monkeypatch, caplog):
+    """Where the audit can't tell what graphs miss, none is asked, and all pairs are compared once, within a centre's shards as well; long lists are counted both ways."""
+    monkeypatch.setattr(hnsw, "AUDITED", 300)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(800, 32)) * np.linspace(2, 0.5, 32)
+    x = np.concatenate([x, x[:40] + 0.2 * rng.normal(size=(40, 32)), x[7] + 0.25 * rng.normal(size=(150, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, x[7].tolist()), (2001, x[900].tolist())]
+    with caplog.at_level("INFO", logger=hnsw.LOG.name):
+        got = {r["vec_id"]: r for r in hnsw.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), shard=100).collect()}
+    x = np.concatenate([x, x[[7, 900]]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    ids = [*range(len(rows) - 2), 2000, 2001]
+    want = united(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in ids] == [(int(n) - 1, want[i]) for i, n in zip(ids, near.sum(axis=1))]
+    assert [r.args[1] for r in caplog.records if r.msg.startswith("beam")] == [{256: 0}]
+
+
+def test_products():
+    """Bounds miss no pair, whether leading coordinates hold much or little, and hits are those of brute force in both directions."""
+    rng = np.random.default_rng(11)
+    for scale in (np.ones(64), np.linspace(3, 0.1, 64), np.r_[np.full(2, 9.0), np.ones(62)]):
+        x = rng.normal(size=(1500, 64)) * scale
+        x = np.concatenate([x, x[:600] + 0.2 * scale * rng.normal(size=(600, 64)), x[9] + 0.1 * scale * rng.normal(size=(90, 64))])
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(len(x))]
+        axes, k = hnsw.leading(x, 0.9)
+        a, b = (hnsw.Compared(n, np.arange(len(x))[at], np.ones(at.sum(), int), x[at].tobytes(), axes, k) for n, at in enumerate((np.arange(len(x)) < 900, np.arange(len(x)) >= 900)))
+        truth = np.argwhere((a.x @ b.x.T) >= 0.9)
+        pairs, counted = set(), {}
+        for r in [r for part in hnsw.compared(a, b, 0.9) for r in part.to_pylist()]:
+            if r["listed"]:
+                pairs |= {(r["id"], r["other"]), (r["other"], r["id"])}
+            elif r["m"]:
+                counted[r["id"]] = counted.get(r["id"], 0) + r["m"]
+        want = np.bincount(np.concatenate([truth[:, 0], truth[:, 1] + 900]), minlength=len(x))
+        assert len(truth) > 300 and [counted.get(i, sum(p[0] == i for p in pairs)) for i in range(len(x))] == want.tolist()
+        few = sum(len(row) for row, _ in hnsw.products(a, b, 0.9))
+        assert few <= 2 * len(truth) + len(a.ids) * len(b.ids) // 100
+
+
 def test_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 32)).astype("float32")
